@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from maskframe.functions import patterns as P
 from maskframe.functions.detect import (
+    by_known_type,
     case_by_type,
     is_json_sql,
     looks_like_json_sql,
@@ -47,13 +48,23 @@ def _json_tokens(v: str) -> str:
     return f"regexp_extract_all({v}, {lit(P.JSON_TOKEN)}, 0)"
 
 
-def _array_leaf(tok: str) -> str:
-    """Text of one element: trimmed, unquoted, unescaped; null for a comma."""
-    inner = f"trim(BOTH {lit(P.WS_CHARS)} FROM {tok})"
+def _array_leaf(inner: str) -> str:
+    """Text of a trimmed element: unquoted and unescaped."""
     quoted = f"startswith({inner}, '\"') AND endswith({inner}, '\"') AND length({inner}) >= 2"
     bare = case([(quoted, f"substring({inner}, 2, length({inner}) - 2)")], otherwise=inner)
-    plain = f"replace(replace({bare}, {lit(chr(92) + chr(34))}, '\"'), '\\\\\\\\', '\\\\')"
-    return case([(f"{tok} <> ','", plain)])
+    return f"replace(replace({bare}, '\\\\\"', '\"'), '\\\\\\\\', '\\\\')"
+
+
+def _array_pairs(v: str) -> str:
+    """Tokens of array text with their decoded text, trimmed once."""
+    trimmed = (
+        f"transform({_array_tokens(v)}, _t -> named_struct('tok', _t, "
+        f"'val', trim(BOTH {lit(P.WS_CHARS)} FROM _t)))"
+    )
+    return (
+        f"transform({trimmed}, _s -> named_struct('tok', _s.tok, "
+        f"'val', {_array_leaf('_s.val')}))"
+    )
 
 
 def _array_tokens(v: str) -> str:
@@ -61,15 +72,37 @@ def _array_tokens(v: str) -> str:
     return f"regexp_extract_all({body}, {lit(P.ARRAY_TOKEN)}, 0)"
 
 
-def _replaced(tokens: str, leaf: str, salt: str) -> str:
-    """Join tokens, those with personal data replaced; each is decoded once."""
-    pairs = f"transform({tokens}, _t -> named_struct('tok', _t, 'val', {leaf}))"
+def _replaced(pairs: str, salt: str) -> str:
+    """Join tokens, those whose decoded text is personal data replaced."""
     out = f"transform({pairs}, _p -> coalesce({_quoted_fake('_p.val', salt)}, _p.tok))"
     return f"array_join({out}, '')"
 
 
+def _mask_json_hits(v: str, salt: str) -> str:
+    """Only the hits are looked at; the text between them is kept as it is."""
+    hit = lit(P.JSON_HIT)
+    leaf = "substring(_h, 2, length(_h) - 2)"
+    fake = by_known_type(leaf, lambda t: fake_of_type(leaf, t, salt))
+    fakes = f"transform(regexp_extract_all({v}, {hit}, 0), _h -> concat('\"', {fake}, '\"'))"
+    woven = f"zip_with(split({v}, {hit}, -1), {fakes}, (_g, _f) -> concat(_g, coalesce(_f, '')))"
+    return f"array_join({woven}, '')"
+
+
+def _mask_json_tokens(v: str, salt: str) -> str:
+    """Every literal is decoded: needed where escapes may hide personal data."""
+    pairs = f"transform({_json_tokens(v)}, _t -> named_struct('tok', _t, 'val', {_json_leaf('_t')}))"
+    return _replaced(pairs, salt)
+
+
 def mask_json_sql(v: str, salt: str = "") -> str:
-    return _replaced(_json_tokens(v), _json_leaf("_t"), salt)
+    escaped = f"contains({v}, '\\\\') AND {v} RLIKE {lit(P.JSON_ESCAPED)}"
+    return case(
+        [
+            (escaped, _mask_json_tokens(v, salt)),
+            (f"{v} RLIKE {lit(P.JSON_HIT)}", _mask_json_hits(v, salt)),
+        ],
+        otherwise=v,
+    )
 
 
 def mask_json(c: Column | str, salt: str = "") -> Column:
@@ -78,8 +111,11 @@ def mask_json(c: Column | str, salt: str = "") -> Column:
 
 
 def mask_pg_array_sql(v: str, salt: str = "") -> str:
-    body = _replaced(_array_tokens(v), _array_leaf("_t"), salt)
-    shaped = f"startswith({v}, '{{') AND endswith({v}, '}}') AND length({v}) >= 2"
+    shaped = (
+        f"startswith({v}, '{{') AND endswith({v}, '}}') AND length({v}) >= 2 "
+        f"AND {v} RLIKE {lit(P.ARRAY_HINT)}"
+    )
+    body = _replaced(_array_pairs(v), salt)
     return case([(shaped, f"concat('{{', {body}, '}}')")], otherwise=v)
 
 
@@ -88,11 +124,16 @@ def mask_pg_array(c: Column | str, salt: str = "") -> Column:
     return bind(c, lambda v: mask_pg_array_sql(v, salt))
 
 
+def may_hold_pii(v: str) -> str:
+    """SQL text: a container that is worth parsing; most are not."""
+    return f"{looks_like_json_sql(v)} AND {v} RLIKE {lit(P.ARRAY_HINT)}"
+
+
 def mask_text_sql(v: str, salt: str = "") -> str:
     container = case(
         [(is_json_sql(v), mask_json_sql(v, salt))], otherwise=mask_pg_array_sql(v, salt)
     )
-    inside = case([(looks_like_json_sql(v), container)])
+    inside = case([(may_hold_pii(v), container)])
     return f"coalesce({fake_or_null(v, salt)}, {inside}, {v})"
 
 
@@ -144,7 +185,7 @@ def mask_nested(c: Column | str, dt: T.DataType, salt: str = "") -> Column:
 def leaf_types_sql(v: str) -> str:
     """SQL text: the detected types of the leaves of a cell, as an array."""
     json = f"transform({_json_tokens(v)}, _t -> {_json_leaf('_t')})"
-    array = f"transform({_array_tokens(v)}, _t -> {_array_leaf('_t')})"
+    array = f"transform({_array_pairs(v)}, _p -> _p.val)"
     inside = case([(is_json_sql(v), json)], otherwise=array)
     leaves = case([(looks_like_json_sql(v), inside)], otherwise=f"array({v})")
     return f"array_compact(transform({leaves}, _l -> {pii_type_sql('_l')}))"

@@ -96,10 +96,30 @@ SCANNABLE_TYPE_NAMES = (
     "bpchar",
 )
 
+_JSON_WS = r"[ \t\r\n]*+"
+_ANY_BODY = "(?:" + "|".join(BODIES[t] for t in PII_TYPES) + ")"
+
+# A JSON string value that is personal data and holds no escape.  An opening
+# quote never follows a backslash; the text between a closing quote and the next
+# opening one holds a bracket, comma or colon, which no body does; a key is
+# followed by a colon.
+JSON_HIT = rf'(?<!\\)"{_ANY_BODY}"(?!{_JSON_WS}:)'
+
+# A JSON literal with an escape that might decode to personal data: only
+# characters and escapes that such a value can have.
+JSON_ESCAPED = (
+    rf'"[{_LETTER}{_D}._%+@/(){WS_CLASS}-]*+'
+    rf'(?:\\(?:[/bfnrt]|u[0-9a-fA-F]{{4}})[{_LETTER}{_D}._%+@/(){WS_CLASS}-]*+)++"'
+)
+
 # JSON text is cut, without loss, into keys (with their colon), string values
 # and everything between.  Possessive quantifiers keep Java's matcher iterative
 # on long literals.
-JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?+|[^"]++'
+JSON_TOKEN = rf'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:{_JSON_WS}:)?+|[^"]++'
+
+# Array text without such a place has no element to mask: escapes aside, an
+# element stands between braces, commas or quotes.
+ARRAY_HINT = rf'\\|[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[}},"]'
 
 # The inside of an array literal is cut into elements and the commas between.
 ARRAY_TOKEN = r'(?s)(?:[^,"\\]|\\(?:.|\z)|"(?:[^"\\]|\\(?:.|\z))*+(?:"|\z))++|,'

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.functions import patterns as P
-from maskframe.functions.detect import case_by_type, is_json_sql, looks_like_json_sql
+from maskframe.functions.detect import case_by_type, is_json_sql
 from maskframe.functions.nested import (
     TEXT_TYPES,
     holds_text,
@@ -20,6 +20,7 @@ from maskframe.functions.nested import (
     mask_nested_sql,
     mask_pg_array_sql,
     mask_text_sql,
+    may_hold_pii,
 )
 from maskframe.functions.partial import mask_sample_sql, preview_sql
 from maskframe.functions.sqltext import bind, case, lit, quote
@@ -211,7 +212,7 @@ def _change(
             [(is_json_sql(v), differs(v, mask_json_sql(v, salt), "json (heuristic)", _HIDDEN))],
             otherwise=differs(v, mask_pg_array_sql(v, salt), "array (heuristic)"),
         )
-        return f"coalesce({single}, {case([(looks_like_json_sql(v), container)])})"
+        return f"coalesce({single}, {case([(may_hold_pii(v), container)])})"
 
     if isinstance(dt, TEXT_TYPES):
         return bind(f.name, heuristic)
@@ -250,16 +251,16 @@ def change_log(
             if one is not None:
                 changes.append(one.cast(_DETAIL))
     found = F.array_compact(F.array(*changes)) if changes else F.array().cast(f"array<{_DETAIL}>")
-    log = df.select(*[F.col(quote(k)) for k in keys], found.alias("details"))
-    n = F.size("details")
+    # A filter on the details would be pushed below the projection and compute
+    # them twice; exploding a list of none or one keeps it to once.
+    kept = [F.col(quote(k)) for k in keys]
+    once = F.explode(F.filter(F.array(found), lambda d: F.size(d) > 0)).alias("details")
     where = "MySQL ResultRow" if event_type == "MySqlDataMasked" else "DataRow"
-    return log.where(n > 0).select(
-        *[F.col(quote(k)) for k in keys],
-        F.lit(event_type).alias("event_type"),
-        F.concat(F.lit("Masked "), n.cast("string"), F.lit(f" fields in {where}")).alias(
-            "content"
-        ),
-        "details",
+    content = F.concat(
+        F.lit("Masked "), F.size("details").cast("string"), F.lit(f" fields in {where}")
+    )
+    return df.select(*kept, once).select(
+        *kept, F.lit(event_type).alias("event_type"), content.alias("content"), "details"
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.functions import patterns as P
-from maskframe.functions.sqltext import bind, case, lit
+from maskframe.functions.sqltext import bind, case, lit, matches
 
 
 def _col(c: Column | str) -> Column:
@@ -56,10 +56,10 @@ def case_by_type(v: str, result: Callable[[str], str]) -> str:
     At most one regex runs per value, whatever the results are: only e-mails
     hold "@", and every other type is short and matched by one joint pattern.
     """
-    email = case([(f"{v} RLIKE {lit(P.PATTERNS['Email'])}", result("Email"))])
+    email = case([(matches(v, P.PATTERNS['Email']), result("Email"))])
     gate = (
         f"octet_length({v}) BETWEEN {P.SHORT_MIN_BYTES} AND {P.SHORT_MAX_BYTES} "
-        f"AND {v} RLIKE {lit(P.SHORT_PATTERN)}"
+        f"AND {matches(v, P.SHORT_PATTERN)}"
     )
     return case([(f"contains({v}, '@')", email), (gate, by_known_short(v, result))])
 

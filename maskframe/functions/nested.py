@@ -20,7 +20,7 @@ from maskframe.functions.detect import (
     pii_type_sql,
     string_columns,
 )
-from maskframe.functions.sqltext import bind, case, lit, quote
+from maskframe.functions.sqltext import bind, case, lit, matches, quote
 from maskframe.functions.strategies import fake_of_type
 
 TEXT_TYPES = (T.StringType, T.CharType, T.VarcharType)
@@ -78,14 +78,23 @@ def _replaced(pairs: str, salt: str) -> str:
     return f"array_join({out}, '')"
 
 
+# Cannot occur unescaped in JSON text.
+_MARK = "\\u0001"
+
+
 def _mask_json_hits(v: str, salt: str) -> str:
-    """Only the hits are looked at; the text between them is kept as it is."""
-    hit = lit(P.JSON_HIT)
-    leaf = "substring(_h, 2, length(_h) - 2)"
-    fake = by_known_type(leaf, lambda t: fake_of_type(leaf, t, salt))
-    fakes = f"transform(regexp_extract_all({v}, {hit}, 0), _h -> concat('\"', {fake}, '\"'))"
-    woven = f"zip_with(split({v}, {hit}, -1), {fakes}, (_g, _f) -> concat(_g, coalesce(_f, '')))"
-    return f"array_join({woven}, '')"
+    """Only the hits are looked at; the text between them is kept as it is.
+
+    The hits are marked in one pass, so that every second part is one.
+    """
+    marked = f"regexp_replace({v}, {lit(P.JSON_HIT)}, '{_MARK}$1{_MARK}')"
+    fake = by_known_type("_h", lambda t: fake_of_type("_h", t, salt))
+    parts = (
+        f"transform(split({marked}, '{_MARK}'), (_h, _i) -> "
+        + case([("_i % 2 = 1", f"concat('\"', {fake}, '\"')")], otherwise="_h")
+        + ")"
+    )
+    return f"array_join({parts}, '')"
 
 
 def _mask_json_tokens(v: str, salt: str) -> str:
@@ -95,14 +104,8 @@ def _mask_json_tokens(v: str, salt: str) -> str:
 
 
 def mask_json_sql(v: str, salt: str = "") -> str:
-    escaped = f"contains({v}, '\\\\') AND {v} RLIKE {lit(P.JSON_ESCAPED)}"
-    return case(
-        [
-            (escaped, _mask_json_tokens(v, salt)),
-            (f"{v} RLIKE {lit(P.JSON_HIT)}", _mask_json_hits(v, salt)),
-        ],
-        otherwise=v,
-    )
+    escaped = f"contains({v}, '\\\\') AND {matches(v, P.JSON_ESCAPED)}"
+    return case([(escaped, _mask_json_tokens(v, salt))], otherwise=_mask_json_hits(v, salt))
 
 
 def mask_json(c: Column | str, salt: str = "") -> Column:
@@ -113,7 +116,7 @@ def mask_json(c: Column | str, salt: str = "") -> Column:
 def mask_pg_array_sql(v: str, salt: str = "") -> str:
     shaped = (
         f"startswith({v}, '{{') AND endswith({v}, '}}') AND length({v}) >= 2 "
-        f"AND {v} RLIKE {lit(P.ARRAY_HINT)}"
+        f"AND {matches(v, P.ARRAY_HINT)}"
     )
     body = _replaced(_array_pairs(v), salt)
     return case([(shaped, f"concat('{{', {body}, '}}')")], otherwise=v)
@@ -126,7 +129,7 @@ def mask_pg_array(c: Column | str, salt: str = "") -> Column:
 
 def may_hold_pii(v: str) -> str:
     """SQL text: a container that is worth parsing; most are not."""
-    return f"{looks_like_json_sql(v)} AND {v} RLIKE {lit(P.ARRAY_HINT)}"
+    return f"{looks_like_json_sql(v)} AND {matches(v, P.ARRAY_HINT)}"
 
 
 def mask_text_sql(v: str, salt: str = "") -> str:

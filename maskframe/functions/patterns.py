@@ -39,9 +39,9 @@ WS_CHARS = (
     + "    　"
 )
 
-_D = r"\p{Nd}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-# Letters that equal an ASCII letter when case is ignored: U+017F and U+212A.
+_D = r"\p{Nd}"
+# U+017F and U+212A equal an ASCII letter when case is ignored.
 _LETTER = r"A-Za-z\x{17f}\x{212a}"
 
 # What a whole cell of each type looks like (no anchors).
@@ -99,25 +99,23 @@ SCANNABLE_TYPE_NAMES = (
 _JSON_WS = r"[ \t\r\n]*+"
 _ANY_BODY = "(?:" + "|".join(BODIES[t] for t in PII_TYPES) + ")"
 
-# A JSON string value that is personal data and holds no escape.  An opening
-# quote never follows a backslash; the text between a closing quote and the next
-# opening one holds a bracket, comma or colon, which no body does; a key is
-# followed by a colon.
-JSON_HIT = rf'(?<!\\)"{_ANY_BODY}"(?!{_JSON_WS}:)'
+# A JSON string value that is personal data and holds no escape; the group is
+# its text.  An opening quote never follows a backslash; the text between a
+# closing quote and the next opening one holds a bracket, comma or colon, which
+# no body does; a key is followed by a colon.
+JSON_HIT = rf'(?<!\\)"({_ANY_BODY})"(?!{_JSON_WS}:)'
 
 # A JSON literal with an escape that might decode to personal data: only
 # characters and escapes that such a value can have.
-JSON_ESCAPED = (
-    rf'"[{_LETTER}{_D}._%+@/(){WS_CLASS}-]*+'
-    rf'(?:\\(?:[/bfnrt]|u[0-9a-fA-F]{{4}})[{_LETTER}{_D}._%+@/(){WS_CLASS}-]*+)++"'
-)
+_PLAIN = rf"[{_LETTER}{_D}._%+@/(){WS_CLASS}-]*+"
+JSON_ESCAPED = rf'"{_PLAIN}(?:\\(?:[/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})++"'
 
 # JSON text is cut, without loss, into keys (with their colon), string values
 # and everything between.  Possessive quantifiers keep Java's matcher iterative
 # on long literals.
 JSON_TOKEN = rf'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:{_JSON_WS}:)?+|[^"]++'
 
-# Array text without such a place has no element to mask: escapes aside, an
+# Array or JSON text without such a place has nothing to mask: escapes aside, an
 # element stands between braces, commas or quotes.
 ARRAY_HINT = rf'\\|[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[}},"]'
 

@@ -28,6 +28,10 @@ def case(branches: list[tuple[str, str]], otherwise: str | None = None) -> str:
     return f"CASE {body}{f' ELSE {otherwise}' if otherwise is not None else ''} END"
 
 
+def matches(v: str, pattern: str) -> str:
+    return f"{v} RLIKE {lit(pattern)}"
+
+
 def bind(c: Column | str, text: Callable[[str], str]) -> Column:
     """Apply SQL text to a column.
 

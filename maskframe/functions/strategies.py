@@ -1,7 +1,6 @@
 """Masking strategies: what a value is replaced by.
 
-Each one is a deterministic expression of the value and names the seed at most
-once, so the digest behind it is computed once per masked value.
+Each one is a deterministic expression of the value and names its digest once.
 """
 
 from __future__ import annotations
@@ -36,36 +35,41 @@ def seed_sql(v: str, salt: str = "") -> str:
     return f"CAST(conv(substring(md5({_salted(v, salt)}), 1, 15), 16, 10) AS BIGINT)"
 
 
-def _digits(seed: str, n: int) -> str:
-    return f"lpad(CAST({seed} % {10**n} AS STRING), {n}, '0')"
+def _hex(v: str, salt: str, n: int) -> str:
+    return f"substring(md5({_salted(v, salt)}), 1, {n})"
+
+
+def _decimal(v: str, salt: str, n: int) -> str:
+    """Digits of the digest without a number conversion."""
+    return f"translate({_hex(v, salt, n)}, 'abcdef', '012345')"
 
 
 def _dash(text: str, at: int) -> str:
     return f"overlay({text} PLACING '-' FROM {at} FOR 0)"
 
 
-def _email(seed: str) -> str:
-    return f"concat('user.', lower(hex({seed})), '@example.com')"
+def _email(v: str, salt: str) -> str:
+    return f"concat('user.', {_hex(v, salt, 15)}, '@example.com')"
 
 
-def _phone(seed: str) -> str:
-    return f"concat('555-', {_dash(_digits(seed, 7), 4)})"
+def _phone(v: str, salt: str) -> str:
+    return f"concat('555-', {_dash(_decimal(v, salt, 7), 4)})"
 
 
-def _address(seed: str) -> str:
+def _address(v: str, salt: str) -> str:
     pool = ", ".join(lit(x) for x in CITIES)
-    return f"element_at(array({pool}), CAST({seed} % {len(CITIES)} + 1 AS INT))"
+    return f"element_at(array({pool}), CAST({seed_sql(v, salt)} % {len(CITIES)} + 1 AS INT))"
 
 
-def _credit_card(seed: str) -> str:
-    return _dash(_dash(_dash(f"concat('4', {_digits(seed, 15)})", 13), 9), 5)
+def _credit_card(v: str, salt: str) -> str:
+    return _dash(_dash(_dash(f"concat('4', {_decimal(v, salt, 15)})", 13), 9), 5)
 
 
-def _ssn(seed: str) -> str:
-    return f"concat('XXX-XX-', {_digits(seed, 4)})"
+def _ssn(v: str, salt: str) -> str:
+    return f"concat('XXX-XX-', lpad(CAST({seed_sql(v, salt)} % 10000 AS STRING), 4, '0'))"
 
 
-_SEEDED: dict[str, Callable[[str], str]] = {
+_SEEDED: dict[str, Callable[[str, str], str]] = {
     "email": _email,
     "phone": _phone,
     "address": _address,
@@ -104,7 +108,7 @@ def fake_sql(v: str, strategy: str, salt: str = "", strict_reference: bool = Fal
     if strategy == "hash" and not strict_reference:
         return f"concat('sha256:', sha2({_salted(v, salt)}, 256))"
     if strategy in _SEEDED:
-        return _SEEDED[strategy](seed_sql(v, salt))
+        return _SEEDED[strategy](v, salt)
     return lit(CONSTANTS.get(strategy, FALLBACK))
 
 

@@ -52,18 +52,20 @@ def _array_leaf(inner: str) -> str:
     """Text of a trimmed element: unquoted and unescaped."""
     quoted = f"startswith({inner}, '\"') AND endswith({inner}, '\"') AND length({inner}) >= 2"
     bare = case([(quoted, f"substring({inner}, 2, length({inner}) - 2)")], otherwise=inner)
-    return f"replace(replace({bare}, '\\\\\"', '\"'), '\\\\\\\\', '\\\\')"
+    plain = f"replace(replace({bare}, '\\\\\"', '\"'), '\\\\\\\\', '\\\\')"
+    return case([(f"contains({inner}, '\\\\')", plain)], otherwise=bare)
 
 
 def _array_pairs(v: str) -> str:
-    """Tokens of array text with their decoded text, trimmed once."""
-    trimmed = (
-        f"transform({_array_tokens(v)}, _t -> named_struct('tok', _t, "
-        f"'val', trim(BOTH {lit(P.WS_CHARS)} FROM _t)))"
-    )
+    """Tokens of array text with their decoded text, trimmed once.
+
+    Commas and elements too short to be of any type have no text.
+    """
+    text = case([("octet_length(_t) >= 6", f"trim(BOTH {lit(P.WS_CHARS)} FROM _t)")])
+    trimmed = f"transform({_array_tokens(v)}, _t -> named_struct('tok', _t, 'val', {text}))"
     return (
         f"transform({trimmed}, _s -> named_struct('tok', _s.tok, "
-        f"'val', {_array_leaf('_s.val')}))"
+        f"'val', {case([('_s.val IS NOT NULL', _array_leaf('_s.val'))])}))"
     )
 
 

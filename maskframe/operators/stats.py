@@ -67,7 +67,7 @@ def tally(
     def row(df: DataFrame, t: str, active=0, n_queries=0, fields=F.lit(0)) -> DataFrame:
         return df.select(
             F.col(t).alias("ts"),
-            F.lit(active).cast("bigint").alias("active"),
+            (F.lit(active) if isinstance(active, int) else active).cast("bigint").alias("active"),
             F.lit(n_queries).cast("bigint").alias("queries"),
             fields.cast("bigint").alias("masked"),
         )
@@ -78,8 +78,15 @@ def tally(
     if masked is not None:
         parts.append(row(masked, ts, fields=F.col(n_masked)))
     if sessions is not None:
-        parts.append(row(sessions, start, active=1))
-        parts.append(row(sessions.where(F.col(end).isNotNull()), end, active=-1))
+        # Both ends of a session come from one pass; an open one has no end.
+        ends = F.inline(
+            F.array(
+                F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
+                F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")),
+            )
+        )
+        both = sessions.select(ends).where(F.col("ts").isNotNull())
+        parts.append(row(both, "ts", active=F.col("d")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -146,7 +153,13 @@ def history(changes: DataFrame, every: str = "5 seconds", keep: int | None = 60)
 
     The newest ``keep`` points, newest first; all points for None.
     """
-    points = cumulative(changes, ["active", "queries", "masked"], every=every).select(
+    measures = ["active", "queries", "masked"]
+    points = (
+        cumulative(changes, measures, every=every)
+        if keep is None
+        else _newest(changes, measures, every, keep)
+    )
+    points = points.select(
         "ts",
         F.col("active").alias("active_connections"),
         F.col("queries").alias("total_queries"),
@@ -155,6 +168,33 @@ def history(changes: DataFrame, every: str = "5 seconds", keep: int | None = 60)
     return points if keep is None else points.orderBy(F.desc("ts")).limit(keep)
 
 
+def _newest(df: DataFrame, measures: list[str], every: str, keep: int) -> DataFrame:
+    """The last ``keep`` points of ``cumulative`` without computing the others.
+
+    All steps before the tail are added to its first one, so at most ``keep``
+    groups leave each task and the running sum is over ``keep`` rows.
+    """
+    step = F.expr(f"INTERVAL {every}")
+    span = df.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    for name in ("first", "last"):
+        span = span.withColumn(name, F.window(F.col(name), every)["start"])
+    tail = span.select(
+        F.greatest(F.col("last") - step * (keep - 1), F.col("first")).alias("first"), "last"
+    )
+    grid = tail.select(F.explode(F.sequence("first", "last", step)).alias("step"))
+    steps = (
+        df.withColumn("step", F.window(F.col("ts"), every)["start"])
+        .withColumn("step", F.greatest("step", tail.select("first").scalar()))
+        .groupBy("step")
+        .agg(*[F.sum(m).alias(m) for m in measures])
+    )
+    order = Window.orderBy("step")
+    return grid.join(steps, "step", "left").select(
+        (F.col("step") + step).alias("ts"),
+        *[F.sum(F.coalesce(m, F.lit(0))).over(order).alias(m) for m in measures],
+    )
+
+
 def for_chart(points: DataFrame) -> DataFrame:
     """History points, oldest first."""
     return points.orderBy("ts")
@@ -162,19 +202,22 @@ def for_chart(points: DataFrame) -> DataFrame:
 
 def active(df: DataFrame, start: str, end: str, every: str = "5 seconds") -> DataFrame:
     """Open and opened sessions at every step; an open session has a null end."""
-    opened = df.select(
-        F.col(start).alias("ts"),
-        F.lit(1).cast("bigint").alias("active_connections"),
-        F.lit(1).cast("bigint").alias("total_connections"),
-    )
-    closed = df.where(F.col(end).isNotNull()).select(
-        F.col(end).alias("ts"),
-        F.lit(-1).cast("bigint").alias("active_connections"),
-        F.lit(0).cast("bigint").alias("total_connections"),
+    ends = F.inline(
+        F.array(
+            F.struct(F.col(start).alias("ts"), F.lit(1).alias("a"), F.lit(1).alias("t")),
+            F.struct(F.col(end).alias("ts"), F.lit(-1).alias("a"), F.lit(0).alias("t")),
+        )
     )
-    return cumulative(
-        opened.unionByName(closed), ["active_connections", "total_connections"], every=every
+    changes = (
+        df.select(ends)
+        .where(F.col("ts").isNotNull())
+        .select(
+            "ts",
+            F.col("a").cast("bigint").alias("active_connections"),
+            F.col("t").cast("bigint").alias("total_connections"),
+        )
     )
+    return cumulative(changes, ["active_connections", "total_connections"], every=every)
 
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:

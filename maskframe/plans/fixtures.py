@@ -113,5 +113,8 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def derived(spark: SparkSession, sf_dir: str, text: str, source: str) -> DataFrame:
     """One of the texts above over the table it reads."""
-    body = text.replace('"', "`") if '"table"' in text or '"timestamp"' in text else text
-    return spark.sql(body.replace(f"FROM {source}", "FROM {src}"), src=table(spark, sf_dir, source))
+    body = text.replace('"table"', "`table`").replace('"column"', "`column`")
+    body = body.replace('"timestamp"', "`timestamp`").replace("{", "{{").replace("}", "}}")
+    return spark.sql(
+        body.replace(f"FROM {source}", "FROM {src}"), src=table(spark, sf_dir, source)
+    )

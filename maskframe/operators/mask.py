@@ -49,29 +49,49 @@ def _text_sql(v: str, dt: T.DataType) -> str:
     return f"to_json({v})" if isinstance(dt, _NESTED) else f"CAST({v} AS STRING)"
 
 
-def _on_text(name: str, dt: T.DataType, text) -> Column:
-    """Apply SQL text to a column's text form, which is computed once."""
-    if isinstance(dt, TEXT_TYPES):
-        return bind(name, text)
-    return bind(F.expr(_text_sql(quote(name), dt)), text)
+def _as_text(df: DataFrame, rules: dict[str, str], coerce: bool) -> DataFrame:
+    """Cast the columns that are masked in text form.
+
+    The casts are a projection of their own: the expressions above name each
+    column many times, and Spark keeps the two apart for that reason.
+    """
+
+    def cast(f: T.StructField) -> bool:
+        if isinstance(f.dataType, TEXT_TYPES):
+            return False
+        if f.name in rules:
+            kept = (isinstance(f.dataType, _NESTED) and rules[f.name] == "json") or (
+                isinstance(f.dataType, T.DateType) and rules[f.name] == "dob"
+            )
+            return not kept
+        return coerce and not isinstance(f.dataType, (*_NESTED, T.BinaryType))
+
+    fields = df.schema.fields
+    if not any(cast(f) for f in fields):
+        return df
+    return df.selectExpr(
+        *[
+            f"{_text_sql(quote(f.name), f.dataType)} AS {quote(f.name)}"
+            if cast(f)
+            else quote(f.name)
+            for f in fields
+        ]
+    )
+
+
+def _json_rule_sql(v: str, salt: str) -> str:
+    valid = (is_json_sql(v), mask_json_sql(v, salt))
+    return case([valid], otherwise=mask_value_sql(v, "json"))
 
 
 def _by_rule(name: str, dt: T.DataType, strategy: str, salt: str, strict: bool) -> Column:
-    if isinstance(dt, T.DateType) and strategy == "dob":
-        return F.expr(case([(f"{quote(name)} IS NOT NULL", f"DATE {lit(CONSTANTS['dob'])}")]))
-    if custom_strategy(strategy) is not None:
-        return mask_value(F.expr(_text_sql(quote(name), dt)), strategy)
+    v = quote(name)
+    if isinstance(dt, T.DateType):
+        return F.expr(case([(f"{v} IS NOT NULL", f"DATE {lit(CONSTANTS['dob'])}")]))
     if strategy == "json":
-        if isinstance(dt, _NESTED):
-            return F.expr(mask_nested_sql(quote(name), dt, salt))
-        return _on_text(
-            name,
-            dt,
-            lambda v: case(
-                [(is_json_sql(v), mask_json_sql(v, salt))], otherwise=mask_value_sql(v, "json")
-            ),
-        )
-    return F.expr(mask_value_sql(_text_sql(quote(name), dt), strategy, salt, strict))
+        nested = isinstance(dt, _NESTED)
+        return F.expr(mask_nested_sql(v, dt, salt) if nested else _json_rule_sql(v, salt))
+    return mask_value(name, strategy, salt, strict)
 
 
 def _by_heuristic(name: str, dt: T.DataType, salt: str, coerce: bool) -> Column | None:
@@ -79,12 +99,10 @@ def _by_heuristic(name: str, dt: T.DataType, salt: str, coerce: bool) -> Column
         return bind(name, lambda v: mask_text_sql(v, salt))
     if isinstance(dt, _NESTED):
         return F.expr(mask_nested_sql(quote(name), dt, salt)) if holds_text(dt) else None
-    if not coerce:
-        return None
-    if isinstance(dt, T.BinaryType):
+    if coerce and isinstance(dt, T.BinaryType):
         text = bind(_utf8(name), lambda v: f"encode({mask_text_sql(v, salt)}, 'UTF-8')")
         return F.coalesce(text, F.col(quote(name)))
-    return _on_text(name, dt, lambda v: mask_text_sql(v, salt))
+    return None
 
 
 def _utf8(name: str) -> Column:
@@ -111,6 +129,7 @@ def mask(
     if not policy.masking_enabled:
         return df
     rules = resolve_rules(df.schema, policy, table, ignore_table)
+    df = _as_text(df, rules, coerce)
     out = []
     for f in df.schema.fields:
         masked = (
@@ -129,9 +148,6 @@ def mask_sql(
     return mask(spark.sql(query), policy, table, **kw)
 
 
-_DETAIL = (
-    "struct<column_idx:int,column_name:string,strategy:string,original:string,masked:string>"
-)
 _HIDDEN = "'(JSON Masked)'"
 
 
@@ -140,7 +156,7 @@ def _change(
     strict: bool,
 ) -> Column | None:
     """A detail struct where the cell changes, null where it does not."""
-    dt = f.dataType
+    dt, name = f.dataType, quote(f.name)
 
     def detail(v: str, strategy: str, masked: str) -> str:
         shown = {
@@ -159,50 +175,25 @@ def _change(
         change = detail(v, strategy, shown or "_m")
         return f"get(transform({kept}, _m -> {change}), 0)"
 
-    if rule is not None and custom_strategy(rule) is not None:
-        text = F.expr(_text_sql(quote(f.name), dt))
-        shown = {
-            "none": F.lit(None).cast("string"),
-            "sample": bind(text, mask_sample_sql),
-            "raw": bind(text, preview_sql),
-        }[previews]
-        return F.when(
-            text.isNotNull(),
-            F.struct(
-                F.lit(idx).alias("column_idx"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(rule).alias("strategy"),
-                shown.alias("original"),
-                mask_value(text, rule).alias("masked"),
-            ),
-        )
-    if isinstance(dt, _NESTED) and (rule == "json" or rule is None):
+    if isinstance(dt, T.DateType) and rule is not None:
+        v = f"CAST({name} AS STRING)"
+        return F.expr(case([(f"{v} IS NOT NULL", detail(v, rule, fake_sql(v, rule)))]))
+    if isinstance(dt, _NESTED):
         if not holds_text(dt):
             return None
         kind = "array (heuristic)" if isinstance(dt, T.ArrayType) else "json (heuristic)"
-        masked = f"to_json({mask_nested_sql(quote(f.name), dt, salt)})"
-        return F.expr(
-            differs(f"to_json({quote(f.name)})", masked, rule or kind, _HIDDEN)
-        )
+        masked = f"to_json({mask_nested_sql(name, dt, salt)})"
+        return F.expr(differs(f"to_json({name})", masked, rule or kind, _HIDDEN))
     if rule == "json":
-        return _on_text(
-            f.name,
-            dt,
-            lambda v: case(
-                [
-                    (is_json_sql(v), differs(v, mask_json_sql(v, salt), "json", _HIDDEN)),
-                    (f"{v} IS NOT NULL", detail(v, "json", fake_sql(v, "json"))),
-                ]
-            ),
-        )
+        hit = differs(name, mask_json_sql(name, salt), "json", _HIDDEN)
+        miss = detail(name, "json", fake_sql(name, "json"))
+        return F.expr(case([(is_json_sql(name), hit), (f"{name} IS NOT NULL", miss)]))
+    if rule is not None and custom_strategy(rule) is not None:
+        pieces = F.expr(case([(f"{name} IS NOT NULL", detail(name, rule, name))]))
+        return pieces.withField("masked", mask_value(f.name, rule))
     if rule is not None:
-        return _on_text(
-            f.name,
-            dt,
-            lambda v: case(
-                [(f"{v} IS NOT NULL", detail(v, rule, fake_sql(v, rule, salt, strict)))]
-            ),
-        )
+        found = detail(name, rule, fake_sql(name, rule, salt, strict))
+        return F.expr(case([(f"{name} IS NOT NULL", found)]))
 
     def heuristic(v: str) -> str:
         single = case_by_type(
@@ -216,11 +207,9 @@ def _change(
 
     if isinstance(dt, TEXT_TYPES):
         return bind(f.name, heuristic)
-    if not coerce:
-        return None
-    if isinstance(dt, T.BinaryType):
+    if coerce and isinstance(dt, T.BinaryType):
         return bind(_utf8(f.name), heuristic)
-    return _on_text(f.name, dt, heuristic)
+    return None
 
 
 def change_log(
@@ -239,28 +228,47 @@ def change_log(
 
     ``keys`` are carried from the row.  ``previews`` says what the log shows of
     the original: ``none``, ``sample`` (ends only) or ``raw`` (50 characters of
-    personal data).  A projection and a filter; no shuffle.
+    personal data).  Projections only; no shuffle.
     """
     if previews not in ("none", "sample", "raw"):
         raise ValueError("previews is 'none', 'sample' or 'raw'")
     rules = resolve_rules(df.schema, policy, table, ignore_table)
+    # The keys go along under names of their own: they may be cast for masking.
+    kept = [f"__k{i}" for i in range(len(keys))]
+    carried = df.select("*", *[F.col(quote(k)).alias(n) for k, n in zip(keys, kept)])
+    text = _as_text(carried, rules, coerce)
+    if kept and coerce:
+        text = text.withColumns(
+            {n: F.col(n).cast(df.schema[k].dataType) for k, n in zip(keys, kept)}
+        )
     changes = []
     if policy.masking_enabled:
-        for i, f in enumerate(df.schema.fields):
+        for i, f in enumerate(text.schema.fields[: len(df.columns)]):
             one = _change(f, i, rules.get(f.name), salt, coerce, previews, strict_reference)
             if one is not None:
-                changes.append(one.cast(_DETAIL))
-    found = F.array_compact(F.array(*changes)) if changes else F.array().cast(f"array<{_DETAIL}>")
-    # A filter on the details would be pushed below the projection and compute
-    # them twice; exploding a list of none or one keeps it to once.
-    kept = [F.col(quote(k)) for k in keys]
-    once = F.explode(F.filter(F.array(found), lambda d: F.size(d) > 0)).alias("details")
-    where = "MySQL ResultRow" if event_type == "MySqlDataMasked" else "DataRow"
-    content = F.concat(
-        F.lit("Masked "), F.size("details").cast("string"), F.lit(f" fields in {where}")
+                changes.append(one.alias(f"__d{i}"))
+    none = (
+        "CAST(array() AS array<struct<column_idx:int,column_name:string,strategy:string,"
+        "original:string,masked:string>>)"
+    )
+    # Three steps that Spark keeps apart, because each names the columns of the
+    # one before it twice: the cells, their list, and the rows with a list.  A
+    # filter would be pushed into the first step and compute every cell twice.
+    cells = text.select(*kept, *changes)
+    lists = ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN array({c}) ELSE {none} END"
+        for c in cells.columns[len(kept) :]
     )
-    return df.select(*kept, once).select(
-        *kept, F.lit(event_type).alias("event_type"), content.alias("content"), "details"
+    listed = cells.selectExpr(*kept, f"{f'concat({lists})' if lists else none} AS __all")
+    where = "MySQL ResultRow" if event_type == "MySqlDataMasked" else "DataRow"
+    return listed.selectExpr(
+        *kept, "explode(CASE WHEN size(__all) > 0 THEN array(__all) END) AS details"
+    ).selectExpr(
+        *[f"{n} AS {quote(k)}" for k, n in zip(keys, kept)],
+        f"{lit(event_type)} AS event_type",
+        f"concat('Masked ', CAST(size(details) AS STRING), {lit(f' fields in {where}')}) "
+        "AS content",
+        "details",
     )
 
 

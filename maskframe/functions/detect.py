@@ -143,8 +143,9 @@ def looks_like_json(c: Column | str) -> Column:
 
 
 def is_json_sql(v: str) -> str:
+    quotes = f"(NOT contains({v}, '\\'') OR {matches(v, P.JSON_QUOTES)})"
     return (
-        f"coalesce(json_array_length(concat('[', {v}, ']')) = 1 "
+        f"coalesce({quotes} AND json_array_length(concat('[', {v}, ']')) = 1 "
         f"AND size(json_object_keys(concat('{{\"v\":', {v}, '}}'))) = 1, false)"
     )
 
@@ -155,7 +156,7 @@ def is_json(c: Column | str) -> Column:
     Spark's JSON readers stop after the first value, so trailing text would
     pass.  Put inside a list the value must be its only element, and put inside
     an object it must be its only member: text that escapes from one wrapper is
-    an error in the other.
+    an error in the other.  They also accept single quotes, which JSON does not.
     """
     return bind(c, is_json_sql)
 

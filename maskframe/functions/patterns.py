@@ -115,6 +115,10 @@ JSON_ESCAPED = rf'"{_PLAIN}(?:\\(?:[/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})++"'
 # on long literals.
 JSON_TOKEN = rf'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:{_JSON_WS}:)?+|[^"]++'
 
+# Text whose apostrophes all stand inside double quotes.  Spark's JSON readers
+# accept single-quoted literals, which are not JSON.
+JSON_QUOTES = r'''(?s)^(?:[^"']|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+\z'''
+
 # Array or JSON text without such a place has nothing to mask: escapes aside, an
 # element stands between braces, commas or quotes.
 ARRAY_HINT = rf'\\|[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[}},"]'

@@ -79,6 +79,18 @@ def _as_text(df: DataFrame, rules: dict[str, str], coerce: bool) -> DataFrame:
     )
 
 
+def _by_position(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Give columns names of their own where two have the same one.
+
+    A join result may hold a name twice, and Spark cannot tell them apart.
+    """
+    names = df.columns
+    if len({n.lower() for n in names}) == len(names):
+        return df, rules
+    fresh = [f"__c{i}" for i in range(len(names))]
+    return df.toDF(*fresh), {n: rules[c] for n, c in zip(fresh, names) if c in rules}
+
+
 def _json_rule_sql(v: str, salt: str) -> str:
     valid = (is_json_sql(v), mask_json_sql(v, salt))
     return case([valid], otherwise=mask_value_sql(v, "json"))
@@ -128,16 +140,18 @@ def mask(
     """
     if not policy.masking_enabled:
         return df
+    names = df.columns
     rules = resolve_rules(df.schema, policy, table, ignore_table)
+    df, rules = _by_position(df, rules)
     df = _as_text(df, rules, coerce)
     out = []
-    for f in df.schema.fields:
+    for name, f in zip(names, df.schema.fields):
         masked = (
             _by_rule(f.name, f.dataType, rules[f.name], salt, strict_reference)
             if f.name in rules
             else _by_heuristic(f.name, f.dataType, salt, coerce)
         )
-        out.append(F.col(quote(f.name)) if masked is None else masked.alias(f.name))
+        out.append((F.col(quote(f.name)) if masked is None else masked).alias(name))
     return df.select(*out)
 
 
@@ -152,8 +166,8 @@ _HIDDEN = "'(JSON Masked)'"
 
 
 def _change(
-    f: T.StructField, idx: int, rule: str | None, salt: str, coerce: bool, previews: str,
-    strict: bool,
+    f: T.StructField, idx: int, label: str, rule: str | None, salt: str, coerce: bool,
+    previews: str, strict: bool,
 ) -> Column | None:
     """A detail struct where the cell changes, null where it does not."""
     dt, name = f.dataType, quote(f.name)
@@ -165,7 +179,7 @@ def _change(
             "raw": preview_sql(v),
         }[previews]
         return (
-            f"named_struct('column_idx', {idx}, 'column_name', {lit(f.name)}, "
+            f"named_struct('column_idx', {idx}, 'column_name', {lit(label)}, "
             f"'strategy', {lit(strategy)}, 'original', {shown}, 'masked', {masked})"
         )
 
@@ -232,19 +246,24 @@ def change_log(
     """
     if previews not in ("none", "sample", "raw"):
         raise ValueError("previews is 'none', 'sample' or 'raw'")
+    names = df.columns
     rules = resolve_rules(df.schema, policy, table, ignore_table)
+    df, rules = _by_position(df, rules)
+    sources = [df.columns[names.index(k)] for k in keys]
     # The keys go along under names of their own: they may be cast for masking.
     kept = [f"__k{i}" for i in range(len(keys))]
-    carried = df.select("*", *[F.col(quote(k)).alias(n) for k, n in zip(keys, kept)])
+    carried = df.select("*", *[F.col(quote(c)).alias(n) for c, n in zip(sources, kept)])
     text = _as_text(carried, rules, coerce)
     if kept and coerce:
         text = text.withColumns(
-            {n: F.col(n).cast(df.schema[k].dataType) for k, n in zip(keys, kept)}
+            {n: F.col(n).cast(df.schema[c].dataType) for c, n in zip(sources, kept)}
         )
     changes = []
     if policy.masking_enabled:
         for i, f in enumerate(text.schema.fields[: len(df.columns)]):
-            one = _change(f, i, rules.get(f.name), salt, coerce, previews, strict_reference)
+            one = _change(
+                f, i, names[i], rules.get(f.name), salt, coerce, previews, strict_reference
+            )
             if one is not None:
                 changes.append(one.alias(f"__d{i}"))
     none = (

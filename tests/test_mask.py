@@ -324,3 +324,17 @@ def test_leaf_scan(spark):
     )
     got = {r.pii_type: r.n_leaves for r in leaf_scan(df, "v").collect()}
     assert got == {"Email": 2, "IpAddress": 1, "Passport": 1}
+
+
+def test_odd_and_repeated_names(spark):
+    df = spark.createDataFrame([("a@b.com", "10.0.0.1", 7)], "`a.b` string, `we``ird` string, `it's` int")
+    policy = MaskPolicy([Rule(None, "it's", "ssn")])
+    r = mask(df, policy).first()
+    assert r["a.b"].endswith("@example.com") and r["we`ird"] == "0.0.0.0" and r["it's"].startswith("XXX")
+    log = change_log(df, policy, keys=("a.b",)).first()
+    assert log["a.b"] == "a@b.com" and [d.column_name for d in log.details] == df.columns
+    twice = df.select(F.col("`a.b`").alias("x"), F.col("`we``ird`").alias("x"), F.lit("k").alias("X"))
+    out = mask(twice, MaskPolicy([Rule(None, "X", "hash")]))
+    assert out.columns == ["x", "x", "X"] and tuple(out.first())[1] == "0.0.0.0"
+    assert tuple(out.first())[2].startswith("sha256:")
+    assert [d.column_idx for d in change_log(twice, MaskPolicy()).first().details] == [0, 1]

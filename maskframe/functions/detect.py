@@ -145,7 +145,8 @@ def looks_like_json(c: Column | str) -> Column:
 def is_json_sql(v: str) -> str:
     quotes = f"(NOT contains({v}, '\\'') OR {matches(v, P.JSON_QUOTES)})"
     return (
-        f"coalesce({quotes} AND json_array_length(concat('[', {v}, ']')) = 1 "
+        f"coalesce({matches(v, P.JSON_START)} AND {quotes} "
+        f"AND coalesce(json_array_length(concat('[', {v}, ']')) = 1, false) "
         f"AND size(json_object_keys(concat('{{\"v\":', {v}, '}}'))) = 1, false)"
     )
 

@@ -115,6 +115,13 @@ JSON_ESCAPED = rf'"{_PLAIN}(?:\\(?:[/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})++"'
 # on long literals.
 JSON_TOKEN = rf'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:{_JSON_WS}:)?+|[^"]++'
 
+# How JSON begins: an object is empty or has a name and a colon.  Array text in
+# braces seldom does, and is told apart without a failed parse.
+JSON_START = (
+    rf'(?s)^{_JSON_WS}(?:[^{{ \t\r\n]|\{{{_JSON_WS}'
+    rf'(?:\}}|"[^"\\]*+(?:\\.[^"\\]*+)*+"{_JSON_WS}:))'
+)
+
 # Text whose apostrophes all stand inside double quotes.  Spark's JSON readers
 # accept single-quoted literals, which are not JSON.
 JSON_QUOTES = r'''(?s)^(?:[^"']|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+\z'''

@@ -57,7 +57,7 @@ class Index:
         often = np.concatenate([r[1] for r in rows]).astype(float) if rows else np.zeros(0)
         self.terms, term, df = np.unique(all_terms, return_inverse=True, return_counts=True)
         size = np.bincount(entry, often, n)
-        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[term] * often * (K1 + 1) / (often + K1 * (1 - B + B * size / max(size.mean(), 1) if n else 0)[entry])
+        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[term] * often * (K1 + 1) / (often + K1 * (1 - B + B * size / max(size.sum() / max(n, 1), 1))[entry])
         weight /= np.bincount(entry, weight, n)[entry]
         order = np.lexsort((entry, term))
         term, self.entry, self.weight = term[order], entry[order], weight[order]
@@ -69,7 +69,7 @@ class Index:
         self.block_at = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
         # The commonest terms that together stay below half the threshold in every item count as always there.
         sums, self.common, self.bound = np.zeros(n), np.zeros(len(self.terms), dtype=bool), 0.0
-        for t in np.argsort(-df, kind="stable"):
+        for t in np.argsort(-df, kind="stable").tolist():
             more = sums.copy()
             more[self.entry[self.at[t] : self.at[t + 1]]] += self.weight[self.at[t] : self.at[t + 1]]
             if more.max() >= threshold / 2:
@@ -87,7 +87,7 @@ class Index:
         """Positions of the words that the index knows, and their terms."""
         at = np.flatnonzero(self.maybe[(hashes >> np.uint64(48)).astype(np.int64)])
         term = np.searchsorted(self.terms, hashes[at])
-        known = self.terms[np.minimum(term, len(self.terms) - 1)] == hashes[at]
+        known = self.terms[np.minimum(term, len(self.terms) - 1)] == hashes[at] if len(at) else np.zeros(0, dtype=bool)
         return at[known], term[known]
 
     def search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

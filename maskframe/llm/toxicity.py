@@ -28,7 +28,9 @@ from maskframe.llm.words import _powers, letters_and_digits, mix, ranges, word_h
 ROWS, WIDE = 1 << 18, 8
 GRAMS = (3, 4, 5)
 #: Words in a window, and between the starts of two.
-WINDOW, STEP = 16, 8
+WINDOW, STEP = 8, 4
+#: Share of an n-gram's vector that goes in each step that uses it, times the rate.
+DECAY = 0.004
 #: Texts of each label that a model is fitted on, about.
 SAMPLE = 4000
 
@@ -95,7 +97,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 24, rate: float = 0.5, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.3, seed: int = 1) -> Model:
     """Fit embeddings and softmax on whole texts; the classes weigh as much as each other."""
     rng = np.random.default_rng(seed)
     parts = list(word_hashes(pa.array(texts, pa.string()), letters_and_digits(), fold=True))
@@ -125,7 +127,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = 24, rate: float = 0.5
             total = np.concatenate(([0.0], np.cumsum(word[which])))
             logit = (total[start + size] - total[start]) / size
             order = np.lexsort((-logit, np.repeat(np.arange(len(at) - 1), np.diff(at))))
-            chosen, text = order[at[some]], np.arange(len(some))
+            # Of clean texts any window is clean: two more of each, at random.
+            clean = np.flatnonzero(label == 0)
+            more = [at[some][clean] + (rng.random(len(clean)) * np.diff(at)[some][clean]).astype(np.int64) for _ in range(2)]
+            chosen, text = np.concatenate([order[at[some]], *more]), np.concatenate([np.arange(len(some)), clean, clean])
         for batch in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 256)):
             w, y, importance = chosen[batch], label[text[batch]], weight[text[batch]]
             word = which[ranges(start[w], size[w])]
@@ -148,7 +153,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 24, rate: float = 0.5
             used, where = np.unique(gram, return_inverse=True)
             change = np.stack([np.bincount(where, back[owner, d] * share, len(used)) for d in range(WIDE)], axis=1).astype(np.float32)
             sums_e[used] += (change**2).mean(axis=1)
-            embedding[used] -= rate * change / np.sqrt(sums_e[used])[:, None]
+            embedding[used] -= rate * (change / np.sqrt(sums_e[used])[:, None] + DECAY * embedding[used])
     return Model((embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 

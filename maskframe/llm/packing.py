@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm.store import ids_and_texts, stage
+from maskframe.llm.tokenfile import id_type
 from maskframe.llm.tokens import encoder
 
 #: Pieces that one task packs, about.
@@ -129,12 +130,13 @@ def pack(docs: DataFrame, size: int = 1024, end: int = 2, vocabulary: str | None
     return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def sequences(placed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The packed sequences as arrays: ``sequence_id``, ``ids``, ``doc_ids``; a sequence's pieces are at most ``size`` rows.
+def sequences(placed: DataFrame, tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The packed sequences: ``sequence_id``, ``ids`` (as ``tokenfile.id_type`` says), ``doc_ids``; a sequence has at most ``size`` pieces.
 
     ``tokens`` has ``doc_id`` (unique) and ``ids`` (``tokenfile.tokenize``).
     """
-    part = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))")
+    wide = np.dtype(id_type(vocabulary)).itemsize
+    part = F.expr(f"substring(ids, cast(start * {wide} + 1 as int), cast(length * {wide} as int))")
     row = placed.join(tokens.select("doc_id", "ids"), "doc_id").select("sequence_id", F.struct("offset", "doc_id", part.alias("ids")).alias("p"))
     held = row.groupBy("sequence_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
     return held.select("sequence_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"), F.col("p.doc_id").alias("doc_ids"))

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from maskframe.sources.sinks import work_dir
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table under ``spark.checkpoint.dir`` and read it again.
 
     Cuts lineage: what follows survives the loss of executors, never computes
     the table twice, and sees its real size.
     """
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

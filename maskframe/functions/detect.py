@@ -144,8 +144,9 @@ def looks_like_json(c: Column | str) -> Column:
 
 def is_json_sql(v: str) -> str:
     quotes = f"(NOT contains({v}, '\\'') OR {matches(v, P.JSON_QUOTES)})"
+    controls = f"(NOT {matches(v, '[' + chr(92) + 'x00-' + chr(92) + 'x1f]')} OR {matches(v, P.JSON_CONTROLS)})"
     return (
-        f"coalesce({matches(v, P.JSON_START)} AND {quotes} "
+        f"coalesce({matches(v, P.JSON_START)} AND {quotes} AND {controls} "
         f"AND coalesce(json_array_length(concat('[', {v}, ']')) = 1, false) "
         f"AND size(json_object_keys(concat('{{\"v\":', {v}, '}}'))) = 1, false)"
     )
@@ -157,7 +158,8 @@ def is_json(c: Column | str) -> Column:
     Spark's JSON readers stop after the first value, so trailing text would
     pass.  Put inside a list the value must be its only element, and put inside
     an object it must be its only member: text that escapes from one wrapper is
-    an error in the other.  They also accept single quotes, which JSON does not.
+    an error in the other.  They also accept single quotes and, inside literals,
+    raw control characters, which JSON does not.
     """
     return bind(c, is_json_sql)
 

@@ -80,7 +80,7 @@ def _replaced(pairs: str, salt: str) -> str:
     return f"array_join({out}, '')"
 
 
-# Cannot occur unescaped in JSON text.
+# Text that holds it already goes the other way.
 _MARK = "\\u0001"
 
 
@@ -106,7 +106,7 @@ def _mask_json_tokens(v: str, salt: str) -> str:
 
 
 def mask_json_sql(v: str, salt: str = "") -> str:
-    escaped = f"contains({v}, '\\\\') AND {matches(v, P.JSON_ESCAPED)}"
+    escaped = f"contains({v}, '{_MARK}') OR (contains({v}, '\\\\') AND {matches(v, P.JSON_ESCAPED)})"
     return case([(escaped, _mask_json_tokens(v, salt))], otherwise=_mask_json_hits(v, salt))
 
 
@@ -135,8 +135,18 @@ def may_hold_pii(v: str) -> str:
 
 
 def mask_text_sql(v: str, salt: str = "") -> str:
+    # What begins like JSON but is refused (raw control characters, too deep, text
+    # behind it) still has its literals masked: personal data is never let through
+    # because its container is broken.
+    bare = f"startswith({v}, '[') AND endswith({v}, ']') AND NOT contains({v}, '\"')"
+    listed = f"concat('[', {_replaced(_array_pairs(v), salt)}, ']')"
     container = case(
-        [(is_json_sql(v), mask_json_sql(v, salt))], otherwise=mask_pg_array_sql(v, salt)
+        [
+            # A list without quotes is masked by element unless it is a list of numbers.
+            (f"{bare} AND NOT {is_json_sql(v)}", listed),
+            (matches(v, P.JSON_START), mask_json_sql(v, salt)),
+        ],
+        otherwise=mask_pg_array_sql(v, salt),
     )
     inside = case([(may_hold_pii(v), container)])
     return f"coalesce({fake_or_null(v, salt)}, {inside}, {v})"

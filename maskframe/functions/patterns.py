@@ -126,9 +126,28 @@ JSON_START = (
 # accept single-quoted literals, which are not JSON.
 JSON_QUOTES = r'''(?s)^(?:[^"']|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+\z'''
 
+# Text whose control characters all are white space outside of literals.
+JSON_CONTROLS = (
+    r'(?s)^(?:[^"\x00-\x1f]|[\t\n\r]|"[^"\\\x00-\x1f]*+(?:\\[^\x00-\x1f][^"\\\x00-\x1f]*+)*+")*+\z'
+)
+
 # Array or JSON text without such a place has nothing to mask: escapes aside, an
 # element stands between braces, commas or quotes.
-ARRAY_HINT = rf'\\|[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[}},"]'
+ARRAY_HINT = rf'\\|[\[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[\]}},"]'
+
+# One piece of free text that is personal data: no letter, digit or sign that
+# such a value can have stands right before it, and no letter or digit after it.
+# The types are tried in their order, so the longest reading of a place wins.
+_BEFORE = rf"(?<![{_LETTER}{_D}._%+@/-])"
+_AFTER = rf"(?![{_LETTER}{_D}@]|[-./]{_D})"
+IN_TEXT = {t: rf"{_BEFORE}{BODIES[t]}{_AFTER}" for t in PII_TYPES}
+
+# Free text without such a place holds none of the seven: "@", or two digits
+# with at most a few signs between them.
+TEXT_HINT = rf"@|{_D}[-./()]?[{WS_CLASS}]?[-./()]?{_D}"
+
+# What stands for a value in redacted text.
+TAGS = {t: f"[{s.upper()}]" for t, s in TYPE_STRATEGY.items()}
 
 # The inside of an array literal is cut into elements and the commas between.
 ARRAY_TOKEN = r'(?s)(?:[^,"\\]|\\(?:.|\z)|"(?:[^"\\]|\\(?:.|\z))*+(?:"|\z))++|,'

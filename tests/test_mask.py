@@ -193,7 +193,10 @@ def test_containers_fall_through(spark):
         "v string",
     )
     got = [r.v for r in mask(df, NONE).collect()]
-    assert got[:3] == ['{"a":"a@b.com"} x', '{"a":1},{"b":"a@b.com"}', "[a@b.com]"]
+    # Not in brackets; refused as JSON, and a bare list: masked all the same.
+    assert got[0] == '{"a":"a@b.com"} x'
+    assert got[1].startswith('{"a":1},{"b":"user.') and "a@b.com" not in got[1]
+    assert got[2].startswith('["user.') and "a@b.com" not in got[2]
     assert got[3].startswith(' {"a":"user.')
 
 

@@ -133,13 +133,14 @@ def latest(
     return audit.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
 
 
-def retain(audit: DataFrame, n: int = KEPT_AUDIT_ROWS) -> DataFrame:
+def retain(audit: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` rows of the whole log."""
     return latest(audit, n)
 
 
-def audit_response(entries: DataFrame) -> DataFrame:
-    """One row: the number of entries of a ``latest`` result and the entries."""
+def audit_response(audit: DataFrame, n: int = KEPT_LOG_ROWS, **filters) -> DataFrame:
+    """One row: the number of the newest ``n`` entries and the entries themselves."""
+    entries = latest(audit, n, **filters)
     row = F.struct(*entries.columns)
     newest_first = F.sort_array(F.collect_list(F.struct("timestamp", "id", row.alias("e"))), False)
     return entries.agg(
@@ -161,6 +162,21 @@ def recent(log: DataFrame, ts: str, tie: str, n: int = KEPT_LOG_ROWS) -> DataFra
     return log.orderBy(F.desc(ts), F.desc(tie)).limit(n)
 
 
+def activity(
+    statements: DataFrame, masked: DataFrame, ts: str, tie: str, n: int = KEPT_LOG_ROWS
+) -> DataFrame:
+    """The newest ``n`` entries of a statement log and a masking log together.
+
+    Both have ``ts``, ``tie`` and ``event_type``.  Each log is cut to its own newest
+    entries before the two are merged.
+    """
+    names = [ts, tie, "event_type"]
+    both = recent(statements.select(*names), ts, tie, n).unionByName(
+        recent(masked.select(*names), ts, tie, n)
+    )
+    return both.orderBy(F.desc(ts), F.desc(tie), "event_type").limit(n)
+
+
 def rollup(audit: DataFrame) -> DataFrame:
     """Rows per event type, by outcome and in total."""
     return audit.groupBy("event_type").agg(

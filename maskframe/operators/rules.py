@@ -49,9 +49,28 @@ def delete_rules(
     column: str | None = None,
     table: str | None = None,
 ) -> DataFrame:
-    """Delete by position, or by column [and table]; the rest keep their order."""
+    """Delete by position, or by column [and table]; the rest keep their order.
+
+    A position counts the rules that are there, whatever their numbers.  Rules
+    behind it move up by one number; a position that does not exist is an error
+    when the result is read.  Only ``index + 1`` numbers are ranked.
+    """
     if index is not None:
-        return rules.where(F.col("rule_idx") != index)
+        if index < 0:
+            raise ValueError(f"no rule at position {index}")
+        there = rules.select("rule_idx").orderBy("rule_idx").limit(index + 1)
+        doomed_idx = there.agg(
+            F.when(F.count(F.lit(1)) == index + 1, F.max("rule_idx")).otherwise(
+                F.raise_error(F.lit(f"no rule at position {index}")).cast("bigint")
+            )
+        ).scalar()
+        before, number = F.col("rule_idx") < F.col("__doomed"), F.col("rule_idx")
+        return (
+            rules.withColumn("__doomed", doomed_idx)
+            .where(F.col("rule_idx") != F.col("__doomed"))
+            .withColumn("rule_idx", F.when(before, number).otherwise(number - 1))
+            .select(*rules.columns)
+        )
     if column is None:
         raise ValueError("give an index or a column")
     doomed = F.col("column") == column
@@ -84,11 +103,15 @@ def suggest_rules(findings: DataFrame) -> DataFrame:
 def uncovered(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings that no rule covers.
 
-    Two equality anti joins, one for rules of the table and one for global
-    rules; a single join with an OR would compare every pair.
+    Rules are reduced to one row per column first, combined before the shuffle:
+    whether a global rule names it, and the tables whose own rules do.  The one
+    left join stays above a union of tables, and no rule is read per table.
     """
-    local = rules.where(F.col("table").isNotNull()).select("table", "column")
-    everywhere = rules.where(F.col("table").isNull()).select("column")
-    return findings.join(local, ["table", "column"], "left_anti").join(
-        everywhere, ["column"], "left_anti"
-    ).select(*findings.columns)
+    covered = rules.groupBy("column").agg(
+        F.max(F.col("table").isNull()).alias("__everywhere"),
+        F.collect_set("table").alias("__tables"),
+    )
+    known = F.coalesce("__everywhere", F.lit(False)) | F.coalesce(
+        F.array_contains("__tables", F.col("table")), F.lit(False)
+    )
+    return findings.join(covered, ["column"], "left").where(~known).select(*findings.columns)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskframe.functions import patterns as P
 from maskframe.operators.mask import masking_counters_wide
@@ -26,7 +27,7 @@ def statements(df: DataFrame, ts: str, connection: str, text: str) -> DataFrame:
 def statement_type(c: Column) -> Column:
     """First word of a statement in upper case; ``OTHER`` if there is none."""
     word = F.regexp_extract(c, rf"^[{P.WS_CLASS}]*+([^{P.WS_CLASS}]+)", 1)
-    return F.when(word == "", F.lit("OTHER")).otherwise(F.upper(word))
+    return F.when(F.coalesce(word, F.lit("")) == "", F.lit("OTHER")).otherwise(F.upper(word))
 
 
 def statement_bucket(kind: Column) -> Column:
@@ -90,60 +91,97 @@ def tally(
     return reduce(DataFrame.unionByName, parts)
 
 
+# Microseconds of the units that a step may have.
+_UNITS = {
+    "microsecond": 1,
+    "millisecond": 1000,
+    "second": 1_000_000,
+    "minute": 60_000_000,
+    "hour": 3_600_000_000,
+    "day": 86_400_000_000,
+    "week": 604_800_000_000,
+}
+# Steps in a block of the running sum.
+_BLOCK = 1000
+
+
+def step_micros(every: str) -> int:
+    """A step such as ``5 seconds`` or ``1 hour 30 minutes`` in microseconds."""
+    words = every.lower().split()
+    total = 0
+    for n, unit in zip(words[::2], words[1::2], strict=True):
+        if unit.rstrip("s") not in _UNITS:
+            raise ValueError(f"not a fixed length of time: {every!r}")
+        total += int(n) * _UNITS[unit.rstrip("s")]
+    if total <= 0:
+        raise ValueError(f"not a step: {every!r}")
+    return total
+
+
+class _Steps:
+    """Steps by number, counted from 1970, for either kind of timestamp."""
+
+    def __init__(self, df: DataFrame, ts: str, every: str) -> None:
+        self.size = step_micros(every)
+        self.plain = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
+
+    def number(self, t: str) -> Column:
+        origin = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})"
+        micros = (origin if self.plain else "unix_micros({0})").format(f"`{t}`")
+        return F.expr(f"({micros} - pmod({micros}, {self.size})) div {self.size}")
+
+    def end(self, step: str) -> Column:
+        """The time at which a step ends."""
+        micros = f"({step} + 1) * {self.size}"
+        return F.expr(
+            f"timestampadd(MICROSECOND, {micros}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+            if self.plain
+            else f"timestamp_micros({micros})"
+        )
+
+
 def cumulative(
     df: DataFrame, measures: list[str], ts: str = "ts", every: str = "5 seconds"
 ) -> DataFrame:
     """Running totals at every step of a regular grid, idle steps included.
 
-    The point at time ``t`` holds all changes before ``t``.  Rows are summed
-    per step first, so a step that holds a third of all rows is one row.  The
-    running sum then has two levels: inside an hour, and over the totals of the
-    hours, of which there are 8,760 a year whatever the number of rows.
+    The point at time ``t`` holds all changes before ``t``; steps of any fixed
+    length are counted from 1970.  Rows are summed per step first, so a step that
+    holds a third of all rows is one row.  The running sum then has two levels:
+    inside a block of steps, and over the totals of the blocks.
     """
-    step = F.expr(f"INTERVAL {every}")
-    hour = F.expr("INTERVAL 1 HOUR")
-
-    def floored(d: DataFrame, name: str, t: str, size: str) -> DataFrame:
-        # Spark allows one window per projection.
-        return d.withColumn(name, F.window(F.col(t), size)["start"])
-
-    steps = (
-        floored(df, "step", ts, every).groupBy("step").agg(*[F.sum(m).alias(m) for m in measures])
-    )
+    by = _Steps(df, ts, every)
+    sums = [F.sum(m).alias(m) for m in measures]
+    steps = df.groupBy(by.number(ts).alias("step")).agg(*sums)
     # The span is a pass of its own that reads nothing but the time column.
-    span = df.agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
-    for name, size in (("first", every), ("last", every)):
-        span = floored(span, name, name, size)
-    span = floored(floored(span, "h0", "first", "1 hour"), "h1", "last", "1 hour")
-    hours = span.select("first", "last", F.explode(F.sequence("h0", "h1", hour)).alias("hour"))
+    span = df.agg(F.min(by.number(ts)).alias("first"), F.max(by.number(ts)).alias("last"))
+    blocks = span.where("first is not null").select(
+        "first", "last", F.explode(F.expr(f"sequence(first div {_BLOCK} - 1, last div {_BLOCK} + 1)")).alias("block")
+    )
+    inner = f"sequence(block * {_BLOCK}, block * {_BLOCK} + {_BLOCK - 1})"
     grid = (
-        hours.repartition("hour")
-        .select(
-            "hour",
-            "first",
-            "last",
-            F.explode(F.sequence(F.col("hour"), F.col("hour") + hour - step, step)).alias("step"),
-        )
+        blocks.repartition("block")
+        .select("block", "first", "last", F.explode(F.expr(inner)).alias("step"))
         .where(F.col("step").between(F.col("first"), F.col("last")))
-        .select("hour", "step")
+        .select("block", "step")
     )
-    inside = Window.partitionBy("hour").orderBy("step")
+    inside = Window.partitionBy("block").orderBy("step")
     within = grid.join(steps, "step", "left").select(
-        "hour",
+        "block",
         "step",
         *[F.sum(F.coalesce(m, F.lit(0))).over(inside).alias(m) for m in measures],
     )
-    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        within.groupBy("hour")
+        within.groupBy("block")
         .agg(*[F.max_by(m, "step").alias(m) for m in measures])
         .select(
-            "hour",
+            "block",
             *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__{m}") for m in measures],
         )
     )
-    return within.join(carried, "hour").select(
-        (F.col("step") + step).alias("ts"),
+    return within.join(carried, "block").select(
+        by.end("step").alias("ts"),
         *[(F.col(m) + F.col(f"__{m}")).alias(m) for m in measures],
     )
 
@@ -174,23 +212,20 @@ def _newest(df: DataFrame, measures: list[str], every: str, keep: int) -> DataFr
     All steps before the tail are added to its first one, so at most ``keep``
     groups leave each task and the running sum is over ``keep`` rows.
     """
-    step = F.expr(f"INTERVAL {every}")
-    span = df.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    for name in ("first", "last"):
-        span = span.withColumn(name, F.window(F.col(name), every)["start"])
-    tail = span.select(
-        F.greatest(F.col("last") - step * (keep - 1), F.col("first")).alias("first"), "last"
+    by = _Steps(df, "ts", every)
+    span = df.agg(F.min(by.number("ts")).alias("first"), F.max(by.number("ts")).alias("last"))
+    tail = span.where("first is not null").select(
+        F.greatest(F.col("last") - (keep - 1), F.col("first")).alias("first"), "last"
     )
-    grid = tail.select(F.explode(F.sequence("first", "last", step)).alias("step"))
+    grid = tail.select(F.explode(F.sequence("first", "last")).alias("step"))
     steps = (
-        df.withColumn("step", F.window(F.col("ts"), every)["start"])
-        .withColumn("step", F.greatest("step", tail.select("first").scalar()))
+        df.withColumn("step", F.greatest(by.number("ts"), tail.select("first").scalar()))
         .groupBy("step")
         .agg(*[F.sum(m).alias(m) for m in measures])
     )
     order = Window.orderBy("step")
     return grid.join(steps, "step", "left").select(
-        (F.col("step") + step).alias("ts"),
+        by.end("step").alias("ts"),
         *[F.sum(F.coalesce(m, F.lit(0))).over(order).alias(m) for m in measures],
     )
 
@@ -254,11 +289,12 @@ def stats(
     log: DataFrame,
     queries: DataFrame,
     points: DataFrame | None = None,
+    keep: int = 60,
 ) -> DataFrame:
     """One row with sessions, masking counters, query counters and history.
 
-    ``sessions`` has ``start`` and ``end``; ``points`` is a ``history`` result,
-    which is short.
+    ``sessions`` has ``start`` and ``end``; of ``points``, a ``history`` result, the
+    newest ``keep`` go into the row.
     """
     counted = sessions.agg(
         F.count(F.when(F.col("end").isNull(), F.lit(1))).alias("active_connections"),
@@ -274,5 +310,6 @@ def stats(
     )
     if points is None:
         return out
+    points = points.orderBy(F.desc("ts")).limit(keep)
     listed = points.agg(F.sort_array(F.collect_list(F.struct(*points.columns)), False))
     return out.withColumn("history", listed.scalar())

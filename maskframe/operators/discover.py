@@ -1,8 +1,8 @@
 """Discovery: which columns of which tables hold personal data?
 
-A table is read once.  Each text column is classified in a projection and the
-counts of all its columns are aggregated together without a key, so every task
-sends one small row and no group can grow hot, whatever the values are.
+A table is read once.  Its cells are classified in a projection and counted by
+column before anything is shuffled, so every task sends one small row per column
+and no group can grow hot, whatever the values are.
 """
 
 from __future__ import annotations
@@ -19,25 +19,22 @@ from maskframe.functions.partial import mask_sample
 from maskframe.functions.sqltext import lit, quote
 from maskframe.sources.tables import sample_fraction, sample_rows, visible
 
-# Columns aggregated together.  A wider table is read in several passes, each
-# of which reads only its own columns from a columnar source.
-COLUMNS_PER_PASS = 32
-
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """``sample_size`` rows per table (None reads all) and what to report.
+    """What to read and what to report; whole tables unless a sample is asked for.
 
-    ``fraction`` takes a share of each table instead.  ``order_by`` names, per
+    ``sample_size`` is a number of rows per table, ``fraction`` a share of each.  ``order_by`` names, per
     table, the column that says which row is the first; without it the sample
     shown is the smallest matching value.
     """
 
-    sample_size: int | None = 100
+    sample_size: int | None = None
     exclude_tables: tuple[str, ...] = ()
     confidence_threshold: float = 0.5
     fraction: float | None = None
     order_by: dict[str, str] = field(default_factory=dict)
+    hide_system: bool = False
 
 
 def _count_name(t: str) -> str:
@@ -47,39 +44,36 @@ def _count_name(t: str) -> str:
 COUNT_NAMES = tuple(_count_name(t) for t in P.PII_TYPES)
 
 
-def _profile_pass(df: DataFrame, fields: list, order: str | None) -> DataFrame:
-    n = range(len(fields))
-    kept = ["__o"] if order else []
-    trimmed = df.selectExpr(
-        *([f"{quote(order)} AS __o"] if order else []),
-        *[f"{quote(f.name)} AS __v{i}" for i, f in enumerate(fields)],
-        *[
-            f"trim(BOTH {lit(P.WS_CHARS)} FROM {quote(f.name)}) AS __w{i}"
-            for i, f in enumerate(fields)
-        ],
+def _typed_cells(df: DataFrame, fields: list, first: int, order: str | None) -> DataFrame:
+    """A row for each cell: number of its column, text, type, place in the order.
+
+    The classifier is written once for the whole table, however wide it is.
+    """
+    place = f", 'o', {quote(order)}" if order else ""
+    cells = ", ".join(
+        f"named_struct('k', {first + i}, 'v', CAST({quote(f.name)} AS STRING){place})"
+        for i, f in enumerate(fields)
     )
-    typed = trimmed.selectExpr(
-        *kept,
-        *[f"__v{i}" for i in n],
-        *[f"{pii_type_sql(f'__w{i}')} AS __t{i}" for i in n],
+    kept = ["k", "v", *(["o"] if order else [])]
+    return (
+        df.selectExpr(f"inline(array({cells}))")
+        .selectExpr(*kept, f"trim(BOTH {lit(P.WS_CHARS)} FROM v) AS w")
+        .selectExpr(*kept, f"{pii_type_sql('w')} AS t", "1 AS n")
     )
-    aggs = ["count(1) AS row_count"]
-    for i in n:
-        hit = f"CASE WHEN __t{i} IS NOT NULL THEN {{}} END"
-        if order:
-            aggs.append(f"min_by(__v{i}, {hit.format('__o')}) AS __s{i}")
-        else:
-            aggs.append(f"min({hit.format(f'__v{i}')}) AS __s{i}")
-        for k, name in enumerate(P.PII_TYPES):
-            aggs.append(f"count(CASE WHEN __t{i} = {lit(name)} THEN 1 END) AS __c{i}_{k}")
-    totals = typed.selectExpr(*aggs)
-    counts = [", ".join(f"{lit(c)}, __c{i}_{k}" for k, c in enumerate(COUNT_NAMES)) for i in n]
-    lines = ", ".join(
-        f"named_struct('column', {lit(f.name)}, 'data_type', {lit(f.dataType.simpleString())}, "
-        f"'row_count', row_count, {counts[i]}, 'first_value', __s{i})"
-        for i, f in enumerate(fields)
+
+
+def _counted(cells: DataFrame, ordered: bool) -> DataFrame:
+    """Counts per column; every task sends one row for each of its columns."""
+    hit = "CASE WHEN t IS NOT NULL THEN {} END"
+    first = f"min_by(v, {hit.format('o')})" if ordered else f"min({hit.format('v')})"
+    return cells.groupBy("k").agg(
+        F.sum("n").alias("row_count"),
+        *[
+            F.count(F.when(F.col("t") == t, F.lit(1))).alias(_count_name(t))
+            for t in P.PII_TYPES
+        ],
+        F.expr(first).alias("first_value"),
     )
-    return totals.selectExpr(f"inline(array({lines}))")
 
 
 def _dominant() -> Column:
@@ -95,10 +89,11 @@ def _dominant() -> Column:
 def profile(tables: dict[str, DataFrame], cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """Per text column: rows, matches, matches per type, dominant type, sample.
 
-    Nulls and blanks count as rows.  One job for all tables.
+    Nulls and blanks count as rows.  All tables go through one exchange (one for
+    each type of ``order_by`` columns).
     """
-    parts = []
-    for name, df in visible(tables, cfg.exclude_tables).items():
+    columns, cells = [], {}
+    for name, df in visible(tables, cfg.exclude_tables, cfg.hide_system).items():
         fields = [f for f in df.schema.fields if is_scannable(f.dataType)]
         if not fields:
             continue
@@ -111,12 +106,29 @@ def profile(tables: dict[str, DataFrame], cfg: ScanConfig = ScanConfig()) -> Dat
             data = sample_fraction(data, cfg.fraction)
         else:
             data = sample_rows(data, cfg.sample_size, order)
-        for i in range(0, len(fields), COLUMNS_PER_PASS):
-            part = _profile_pass(data, fields[i : i + COLUMNS_PER_PASS], order)
-            parts.append(part.select(F.lit(name).alias("table"), "*"))
-    if not parts:
+        kind = df.schema[order].dataType.simpleString() if order else None
+        part = _typed_cells(data, fields, len(columns), order)
+        cells.setdefault(kind, []).append(part)
+        columns += [(name, f.name, f.dataType.simpleString(), kind) for f in fields]
+    if not columns:
         raise ValueError("no text column to scan")
-    long = reduce(DataFrame.unionByName, parts)
+    spark = next(iter(tables.values())).sparkSession
+    numbered = spark.createDataFrame(
+        [(k, *c) for k, c in enumerate(columns)],
+        "k int, table string, column string, data_type string, kind string",
+    )
+    counted = []
+    for kind, parts in cells.items():
+        # A row that counts nothing for each column, so that empty tables are listed.
+        empty = numbered.where(F.col("kind").eqNullSafe(F.lit(kind))).selectExpr(
+            "k",
+            "CAST(NULL AS STRING) AS v",
+            *([f"CAST(NULL AS {kind}) AS o"] if kind else []),
+            "CAST(NULL AS STRING) AS t",
+            "0 AS n",
+        )
+        counted.append(_counted(reduce(DataFrame.unionByName, [*parts, empty]), kind is not None))
+    long = reduce(DataFrame.unionByName, counted).join(numbered.drop("kind"), "k")
     matches = reduce(lambda a, b: a + b, [F.col(n) for n in COUNT_NAMES])
     return long.select(
         "table",
@@ -174,16 +186,18 @@ def scan_summary(
     cfg: ScanConfig = ScanConfig(),
     found: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: status, tables and columns scanned, findings.
+    """One row: status, tables scanned and hidden, columns scanned, findings.
 
     All columns of a scanned table count, also those of other types.
     """
-    chosen = visible(tables, cfg.exclude_tables)
+    chosen = visible(tables, cfg.exclude_tables, cfg.hide_system)
+    hidden = len(visible(tables, cfg.exclude_tables)) - len(chosen)
     n_columns = sum(len(df.columns) for df in chosen.values())
     found = scan(tables, cfg) if found is None else found
     return found.agg(F.count(F.lit(1)).alias("findings")).select(
         F.lit("completed").alias("status"),
         F.lit(len(chosen)).cast("bigint").alias("tables_scanned"),
+        F.lit(hidden).cast("bigint").alias("tables_hidden"),
         F.lit(n_columns).cast("bigint").alias("columns_scanned"),
         "findings",
     )

@@ -36,9 +36,19 @@ def _read(path: str, spark: SparkSession | None) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def _write(text: str, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def _write(text: str, path: str, spark: SparkSession | None) -> None:
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    # One file on whatever file system the path names.
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def _parse(text: str):
@@ -55,11 +65,12 @@ def load_policy(path: str, spark: SparkSession | None = None) -> MaskPolicy:
     return MaskPolicy.from_dict(_parse(_read(path, spark)))
 
 
-def save_policy(policy: MaskPolicy, path: str) -> None:
+def save_policy(policy: MaskPolicy, path: str, spark: SparkSession | None = None) -> None:
     raw = policy.to_dict()
     _write(
         json.dumps(raw, indent=2) if yaml is None else yaml.safe_dump(raw, sort_keys=False),
         path,
+        spark,
     )
 
 
@@ -71,11 +82,13 @@ def reload(policy: MaskPolicy, path: str, spark: SparkSession | None = None) ->
         return policy
 
 
-def export_rules(policy: MaskPolicy, path: str | None = None) -> str:
+def export_rules(
+    policy: MaskPolicy, path: str | None = None, spark: SparkSession | None = None
+) -> str:
     """Rules as a JSON list; also written to ``path`` if given."""
     text = json.dumps([r.to_dict() for r in policy.rules], indent=2)
     if path is not None:
-        _write(text, path)
+        _write(text, path, spark)
     return text
 
 

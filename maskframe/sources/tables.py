@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Samples up to this many rows are fetched like a preview; see ``sample_rows``.
-PREVIEW_ROWS = 10_000
-
 CATALOG_SCHEMA = T.StructType(
     [
         T.StructField("table", T.StringType(), False),
@@ -39,23 +36,26 @@ def read_tables(
         reader = spark.read.format("jdbc").options(url=source, **options)
         return {n: reader.option("dbtable", n).load() for n in names}
     reader = spark.read.format(fmt).options(**options)
-    return {n: reader.load(f"{source}/{n}.{fmt}") for n in names}
+    return {n: reader.load(_entry(spark, source, n, fmt)) for n in names}
+
+
+def _entry(spark: SparkSession, source: str, name: str, fmt: str) -> str:
+    """``name.fmt`` if the folder has it, else ``name``, on any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{name}.{fmt}")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return f"{source}/{name}.{fmt}" if fs.exists(path) else f"{source}/{name}"
 
 
 def sample_rows(df: DataFrame, n: int | None, order_by: str | None = None) -> DataFrame:
-    """The first ``n`` rows in no order, or by ``order_by``; all rows for None.
+    """``n`` rows in no order, or the first by ``order_by``; all rows for None.
 
-    A small unordered sample is taken the way ``head`` does, from as few
-    partitions as hold ``n`` rows, so a table of a million files is not opened
-    for a hundred rows.  Larger ones stay lazy.
+    Always lazy: nothing is read until the result is.
     """
     if n is None:
         return df
     if order_by is not None:
         return df.orderBy(order_by).limit(n)
-    if n > PREVIEW_ROWS:
-        return df.limit(n)
-    return df.sparkSession.createDataFrame(df.head(n), df.schema)
+    return df.limit(n)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
@@ -80,14 +80,24 @@ def _is_system(name: str) -> bool:
     return re.match(r"(?s)(?:pg|sql).", name) is not None
 
 
-def visible(tables: dict[str, DataFrame], exclude=()) -> dict[str, DataFrame]:
-    """User tables that are not excluded, by name."""
+def visible(
+    tables: dict[str, DataFrame], exclude=(), hide_system: bool = False
+) -> dict[str, DataFrame]:
+    """Tables that are not excluded, by name.
+
+    ``hide_system`` is for PostgreSQL catalogs, whose own tables go by name; in
+    any other catalog such a name is a user's.
+    """
     return {
-        n: tables[n] for n in sorted(tables) if n not in exclude and not _is_system(n)
+        n: tables[n]
+        for n in sorted(tables)
+        if n not in exclude and not (hide_system and _is_system(n))
     }
 
 
-def columns_df(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def columns_df(
+    spark: SparkSession, tables: dict[str, DataFrame], hide_system: bool = False
+) -> DataFrame:
     """Catalog of columns, ordered by table and position.
 
     This is metadata: its size is the number of columns, not of rows.
@@ -101,16 +111,16 @@ def columns_df(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
             getattr(f.dataType, "length", None),
             i,
         )
-        for name, df in visible(tables).items()
+        for name, df in visible(tables, hide_system=hide_system).items()
         for i, f in enumerate(df.schema.fields)
     ]
     return spark.createDataFrame(rows, CATALOG_SCHEMA).orderBy("table", "ordinal")
 
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def row_counts(tables: dict[str, DataFrame], hide_system: bool = False) -> DataFrame:
     """Exact rows per table; reads no column."""
     out = None
-    for name, df in visible(tables).items():
+    for name, df in visible(tables, hide_system=hide_system).items():
         one = df.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(name).alias("table"), "row_count"
         )
@@ -132,9 +142,11 @@ def catalog_row_count(spark: SparkSession, table: str) -> int | None:
     return int(found.group(1)) if found else None
 
 
-def schema_report(tables: dict[str, DataFrame], exclude=()) -> DataFrame:
+def schema_report(
+    tables: dict[str, DataFrame], exclude=(), hide_system: bool = False
+) -> DataFrame:
     """Per table: its columns and its row count, sorted by name."""
-    chosen = visible(tables, exclude)
+    chosen = visible(tables, exclude, hide_system)
     out = None
     for name, df in chosen.items():
         columns = F.array(

@@ -48,7 +48,8 @@ def test_sampling_exclusion_and_wide_tables(spark):
     wide = spark.range(300).select(
         "id", *[F.concat(F.lit("u"), "id", F.lit(f"@x{i}.com")).alias(f"c{i:02d}") for i in range(40)]
     )
-    got = scan({"wide": wide, "other": wide}, ScanConfig(exclude_tables=("other",))).collect()
+    some = ScanConfig(sample_size=100, exclude_tables=("other",))
+    got = scan({"wide": wide, "other": wide}, some).collect()
     assert len(got) == 40 and {r.row_count for r in got} == {100} and {r.table for r in got} == {"wide"}
     full = scan({"wide": wide}, ScanConfig(sample_size=None, order_by={"wide": "id"})).collect()
     assert {r.row_count for r in full} == {300} and {r.sample for r in full if r.column == "c00"} == {"u0@***com"}
@@ -63,7 +64,9 @@ def test_sampling_exclusion_and_wide_tables(spark):
 def test_catalog(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "s string, n int")
     tables = {"b": df, "a": df, "pg_x": df, "sql_y": df, "pgsql": df, "pg": df}
-    got = [(r.table, r.column, r.data_type) for r in columns_df(spark, tables).collect()]
+    assert {r.table for r in columns_df(spark, tables).collect()} == set(tables)
+    shown = columns_df(spark, tables, hide_system=True).collect()
+    got = [(r.table, r.column, r.data_type) for r in shown]
     # LIKE 'pg_%' also hides "pgsql": the underscore stands for any character.
     assert got[:2] == [("a", "s", "string"), ("a", "n", "int")] and {g[0] for g in got} == {"a", "b", "pg"}
     assert {r.table: r.row_count for r in S.row_counts({"a": df}).collect()} == {"a": 1}

@@ -96,6 +96,19 @@ SELECT o_orderkey AS rule_idx,
 FROM orders
 """
 
+HOSTILE = """
+SELECT c_custkey, concat('user', c_custkey, '@example.com') AS secret,
+  CASE c_custkey % 6
+    WHEN 0 THEN concat('{"a":"x', chr(1), 'y","e":"user', c_custkey, '@example.com"}')
+    WHEN 1 THEN concat('{"e":"user', c_custkey, '@example.com"} and more}')
+    WHEN 2 THEN concat('[["user', c_custkey, '@example.com"]')
+    WHEN 3 THEN concat(repeat('[', 1200), '"user', c_custkey, '@example.com"', repeat(']', 1200))
+    WHEN 4 THEN concat('{"e":"x","e":"user', c_custkey, '@example.com"}')
+    ELSE concat('{"a', chr(9), 'b":"user', c_custkey, '@example.com"}')
+  END AS cell
+FROM customer
+"""
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",

@@ -25,6 +25,14 @@ def pii(v: str) -> str:
     return f"(CASE {tests} END)"
 
 
+def _tokens(table: str, text: str) -> str:
+    return (
+        f"SELECT pii_type, count(*) AS n_tokens FROM (SELECT {pii('v')} AS pii_type FROM "
+        f"(SELECT unnest(regexp_split_to_array({text}, '[{P.WS_CLASS}]+')) AS v FROM {table})) "
+        "WHERE pii_type IS NOT NULL GROUP BY 1"
+    )
+
+
 def _hex(v: str, n: int) -> str:
     return f"substr(md5({v}), 1, {n})"
 
@@ -252,10 +260,10 @@ SELECT g.step + INTERVAL '{every}' AS ts,
   CAST(sum(coalesce(s.q, 0)) OVER w AS BIGINT) AS total_queries,
   CAST(sum(coalesce(s.m, 0)) OVER w AS BIGINT) AS total_masked,
   CAST(sum(coalesce(s.t, 0)) OVER w AS BIGINT) AS total_connections
-FROM (SELECT unnest(generate_series(time_bucket(INTERVAL '{every}', min(ts)),
-    time_bucket(INTERVAL '{every}', max(ts)), INTERVAL '{every}')) AS step
+FROM (SELECT unnest(generate_series(time_bucket(INTERVAL '{every}', min(ts), TIMESTAMP '1970-01-01'),
+    time_bucket(INTERVAL '{every}', max(ts), TIMESTAMP '1970-01-01'), INTERVAL '{every}')) AS step
   FROM ({changes})) g
-LEFT JOIN (SELECT time_bucket(INTERVAL '{every}', ts) AS step, sum(a) AS a, sum(q) AS q,
+LEFT JOIN (SELECT time_bucket(INTERVAL '{every}', ts, TIMESTAMP '1970-01-01') AS step, sum(a) AS a, sum(q) AS q,
     sum(m) AS m, sum(t) AS t FROM ({changes}) GROUP BY 1) s ON g.step = s.step
 WINDOW w AS (ORDER BY g.step)"""
 
@@ -473,7 +481,10 @@ def sql() -> dict[str, str]:
         "rules_delete_by_column": _R
         + "SELECT \"column\", count(*) AS n FROM r WHERE \"column\" <> 'mail' AND NOT "
         "(\"column\" = 'user_email' AND \"table\" IS NOT DISTINCT FROM 't_7') GROUP BY 1",
-        "rules_delete_by_index": _R + "SELECT * FROM r WHERE rule_idx <> 3",
+        "rules_delete_by_index": _R + "SELECT * REPLACE (CASE WHEN rule_idx > 3 THEN rule_idx - 1 ELSE rule_idx END AS rule_idx) "
+        "FROM r WHERE rule_idx <> 3",
+        "rules_delete_twice": _R
+        + "SELECT * REPLACE (rule_idx - 2 AS rule_idx) FROM r WHERE rule_idx > 1",
         "rules_import_append": _R
         + "SELECT * FROM r UNION ALL SELECT rule_idx + 1 + (SELECT max(rule_idx) FROM r), "
         '"table", "column", strategy FROM r WHERE "table" IS NULL',
@@ -510,7 +521,7 @@ def sql() -> dict[str, str]:
         + _findings(_profile({"pii_customers": _COLUMNS[1:]}, "c_custkey"), 0.5),
         "scan_summary": _VIEWS
         + f"f AS ({_findings(_profile(_TEXT_COLUMNS), 0.5)}) SELECT 'completed' AS status, "
-        f"{len(_ALL_COLUMNS)}::BIGINT AS tables_scanned, "
+        f"{len(_ALL_COLUMNS)}::BIGINT AS tables_scanned, 0::BIGINT AS tables_hidden, "
         f"{sum(len(c.split(',')) for c in _ALL_COLUMNS.values())}::BIGINT AS columns_scanned, "
         "count(*) AS findings FROM f",
         "scan_type_breakdown": _VIEWS
@@ -549,8 +560,9 @@ def sql() -> dict[str, str]:
         + "SELECT 'buyer_email' AS column_name, 'email' AS strategy, count(buyer_email) AS n "
         "FROM o UNION ALL SELECT 'born', 'dob', count(born) FROM o",
         "recent_activity": _S
-        + "SELECT ts, connection_id, 'Query' AS event_type FROM s "
-        "ORDER BY ts DESC, connection_id DESC LIMIT 100",
+        + "SELECT * FROM (SELECT ts, connection_id, 'Query' AS event_type FROM s UNION ALL "
+        "SELECT ts, user_id, 'DataMasked' FROM events WHERE event_type = 'purchase') "
+        "ORDER BY ts DESC, connection_id DESC, event_type LIMIT 100",
         "statement_types": _S + f"SELECT {_KIND} AS kind, count(*) AS n FROM s GROUP BY 1",
         "statement_counters": _S
         + "SELECT count(*) AS total, "
@@ -564,6 +576,9 @@ def sql() -> dict[str, str]:
         "history_last_60": f"SELECT * EXCLUDE (total_connections) FROM ({_history('5 seconds')}) "
         "ORDER BY ts DESC LIMIT 60",
         "history_by_minute": f"SELECT * EXCLUDE (total_connections) FROM ({_history('1 minute')})",
+        "history_7s": f"SELECT * EXCLUDE (total_connections) FROM ({_history('7 seconds')}) "
+        "ORDER BY ts DESC LIMIT 500",
+        "history_by_day": f"SELECT * EXCLUDE (total_connections) FROM ({_history('1 day')})",
         "active_sessions": "SELECT ts, active_connections, total_connections FROM ("
         + _history(
             "1 minute",
@@ -571,6 +586,9 @@ def sql() -> dict[str, str]:
             f"UNION ALL SELECT \"end\", -1, 0, 0, 0 FROM ({_sessions(300)})",
         )
         + ")",
+        "latency_quantiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, "
+        "quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 "
+        "FROM events GROUP BY 1",
         "latency_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, "
         "min(value) AS low, max(value) AS high FROM events GROUP BY 1",
         "labelled_counters": _A
@@ -613,6 +631,14 @@ def sql() -> dict[str, str]:
         "stream_counters": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS key, "
         "count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= "
         "(SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2",
+        "stream_counters_all": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS key, "
+        "count(*) AS n FROM events GROUP BY 1, 2",
+        "mask_json_hostile": "SELECT c_custkey, false AS leaks FROM customer",
+        "token_scan_documents": _tokens("documents", "text"),
+        "token_scan_pages": _tokens("pages", "html"),
+        "docs_with_pii": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM "
+        f"(SELECT doc_id, unnest(regexp_split_to_array(text, '[{P.WS_CLASS}]+')) AS v FROM documents) "
+        f"WHERE {pii('v')} IS NOT NULL)",
         "stream_masked_with_log": f"SELECT event_id, {fake('hash', 'event_type')} AS event_type, "
         f"{fake('hash', 'event_type')} AS logged FROM events",
         "stream_health": "SELECT event_id, user_id, healthy, consecutive_failures, "

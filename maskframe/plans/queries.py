@@ -18,7 +18,14 @@ from maskframe.functions.detect import (
     pii_type,
     strategy_of,
 )
-from maskframe.functions.nested import leaf_scan, mask_json, mask_nested, mask_pg_array
+from maskframe.functions.nested import (
+    leaf_scan,
+    mask_json,
+    mask_nested,
+    mask_pg_array,
+    mask_text,
+)
+from maskframe.functions.prose import holds_personal_data, redact_text, token_scan
 from maskframe.functions.partial import mask_sample, partial, preview, quick
 from maskframe.functions.sql import register_functions
 from maskframe.functions.strategies import mask_value
@@ -163,6 +170,52 @@ def container_shapes(spark, d):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def token_scan_documents(spark, d):
+    """Types among the tokens of whole texts."""
+    return token_scan(X.table(spark, d, "documents"), "text")
+
+
+@query
+def token_scan_pages(spark, d):
+    """The same in web pages."""
+    return token_scan(X.table(spark, d, "pages"), "html")
+
+
+@query
+def docs_with_pii(spark, d):
+    """Documents any token of which is personal data."""
+    docs = X.table(spark, d, "documents")
+    return docs.where(holds_personal_data("text")).select("doc_id", "lang")
+
+
+@query
+def redact_documents(spark, d):
+    """Whole texts with tags in place of personal data."""
+    return X.table(spark, d, "documents").select("doc_id", redact_text("text").alias("text"))
+
+
+@query
+def redact_pages(spark, d):
+    """The same in web pages."""
+    return X.table(spark, d, "pages").select("page_id", redact_text("html").alias("html"))
+
+
+@query
+def redact_conversations(spark, d):
+    """Texts that hold none stay as they are."""
+    turns = X.table(spark, d, "conversations")
+    return turns.select("conv_id", "turn", redact_text("text").alias("text"))
+
+
+@query
+def mask_json_hostile(spark, d):
+    """Containers that are broken, deep or hold control characters leak nothing."""
+    hostile = X.derived(spark, d, X.HOSTILE, "customer")
+    masked = hostile.select("c_custkey", "secret", mask_text("cell").alias("masked"))
+    return masked.select("c_custkey", F.contains("masked", "secret").alias("leaks"))
+
+
 @query
 def leaf_scan_profiles(spark, d):
     """Types among the leaves of JSON cells."""
@@ -475,6 +528,13 @@ def rules_delete_by_index(spark, d):
     return R.delete_rules(X.derived(spark, d, X.RULES, "orders"), index=3)
 
 
+@query
+def rules_delete_twice(spark, d):
+    """A position counts what is left."""
+    once = R.delete_rules(X.derived(spark, d, X.RULES, "orders"), index=0)
+    return R.delete_rules(once, index=0)
+
+
 @query
 def rules_import_append(spark, d):
     """Rules are appended with their duplicates."""
@@ -578,7 +638,7 @@ def scan_findings_low_threshold(spark, d):
 @query
 def scan_sampled(spark, d):
     """An ordered sample of 100 rows, and the first matching value."""
-    cfg = D.ScanConfig(order_by={"pii_customers": "c_custkey"})
+    cfg = D.ScanConfig(sample_size=100, order_by={"pii_customers": "c_custkey"})
     return D.scan({"pii_customers": customers(spark, d)}, cfg)
 
 
@@ -656,7 +716,7 @@ def audit_retention(spark, d):
 @query
 def audit_response(spark, d):
     """A5: the number of entries and the newest and oldest of them."""
-    r = A.audit_response(A.latest(audit_rows(spark, d), 25))
+    r = A.audit_response(audit_rows(spark, d), 25)
     return r.select(
         "count",
         F.element_at("entries", 1)["id"].alias("newest"),
@@ -696,7 +756,11 @@ def recent_activity(spark, d):
         statement_log(spark, d).withColumn("text", F.col("statement")), "ts", "connection_id", "text"
     )
     seen = statements.select("ts", "connection_id", F.lit("Query").alias("event_type"))
-    return A.recent(seen, "ts", "connection_id")
+    bought = X.table(spark, d, "events").where("event_type = 'purchase'")
+    log = change_log(
+        bought, MaskPolicy((Rule(None, "event_type", "hash"),)), "events", keys=("ts", "user_id")
+    ).withColumnRenamed("user_id", "connection_id")
+    return A.activity(seen, log, "ts", "connection_id")
 
 
 # ---- statistics --------------------------------------------------------------
@@ -749,6 +813,18 @@ def history_by_minute(spark, d):
     return K.for_chart(K.history(_changes(spark, d), every="1 minute", keep=None))
 
 
+@query
+def history_7s(spark, d):
+    """K6: a step that divides neither a minute nor an hour; the newest 500 points."""
+    return K.history(_changes(spark, d), every="7 seconds", keep=500)
+
+
+@query
+def history_by_day(spark, d):
+    """K6: steps longer than an hour."""
+    return K.history(_changes(spark, d), every="1 day", keep=None)
+
+
 @query
 def active_sessions(spark, d):
     """K8: open sessions at every minute."""
@@ -882,6 +958,18 @@ def stream_counters(spark, d):
     )
 
 
+@query
+def stream_counters_all(spark, d):
+    """ST2, ST8: every row counts, the last window and late rows too."""
+    out = work_dir(spark, "counters")
+    sdf = _event_stream(spark, d).select("ts", "event_type")
+    ST.run_counters(
+        sdf, "event_type", out, work_dir(spark, "checkpoint"), window="1 day"
+    ).awaitTermination()
+    counted = ST.read_counters(spark, out)
+    return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n")
+
+
 @query
 def stream_masked_with_log(spark, d):
     """ST6, ST7, S9: masked rows and change log from one pass, rules from a file."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskframe.llm import decontaminate, lines, near, packing, toxicity
 from maskframe.llm.store import stage, table
@@ -15,7 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are aligned with an earlier document go from the later one."""
-    return lines.remove_aligned(docs).select(*docs.columns)
+    kept = lines.remove_aligned(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

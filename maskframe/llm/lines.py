@@ -1,12 +1,11 @@
 """Line dedup by pairwise alignment: blocks of lines that an earlier document has too go from the later one.
 
 A line of ``MIN_WORDS`` words or more leads every document that has it to the
-first one that has it, so a line that a third of all documents share makes one
-pair for each of them, not one for each two.  Each pair is aligned by patience
-diff on all its lines, and the aligned lines go from the later document.  The
-lines that lead to a pair are its rare ones: the first holder of a line that is
-nowhere else shared is met through it alone, and a pair whose rarest common line
-is spread over many documents is still met, through that line's first holder.
+first one that has it.  A rare line so makes nearly all the pairs there are; one
+that a third of all documents share makes one pair for each of them, not one for
+each two, and needs no cap: whatever it would show of another document, that
+document's own first holders show.  Each pair is aligned by patience diff on all
+its lines, and the aligned lines go from the later document.
 """
 
 from __future__ import annotations
@@ -65,11 +64,16 @@ def _with_lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lines", lines)
 
 
+def _words(line, most: int):
+    """Number of words of a line, or ``most`` if it has more; long lines are not read to their end."""
+    many = rf"^[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]+){{{most - 1}}}[^ \t-\r]"
+    return F.when(line.rlike(many), most).otherwise(F.size(F.regexp_extract_all(line, F.lit(r"[^ \t-\r]+"), F.lit(0))))
+
+
 def pairs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Distinct ``later``, ``earlier`` documents: the earlier is the first to hold some line of the later."""
-    words = F.size(F.regexp_extract_all("line", F.lit(r"[^ \t-\r]+"), F.lit(0)))
     line = _with_lines(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct("lines")).alias("line"))
-    line = line.where(F.length("line") >= 2 * min_words - 1).where(words >= min_words).select("doc_id", F.xxhash64("line").alias("h"))
+    line = line.where(F.length("line") >= 2 * min_words - 1).where(_words(F.col("line"), min_words) >= min_words).select("doc_id", F.xxhash64("line").alias("h"))
     # Only lines that more than one document has; what is combined before the shuffle bounds common lines.
     first = line.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last").select("h", "earlier")
     return line.join(stage(first, "first-lines"), "h").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
@@ -83,7 +87,7 @@ def aligned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hashed = _with_lines(docs.select("doc_id", "text")).select(
         "doc_id",
         F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))).alias("lines"),
-        F.transform("lines", lambda x: F.size(F.regexp_extract_all(x, F.lit(r"[^ \t-\r]+"), F.lit(0))).cast("int")).alias("words"),
+        F.transform("lines", lambda x: _words(x, min_words).cast("int")).alias("words"),
     )
     hashed, pair = stage(hashed, "line-hashes"), stage(pairs(docs, min_words), "line-pairs")
     sides = hashed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("other"))
@@ -117,10 +121,10 @@ def remove_aligned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     becomes empty; a null text stays null and has no lines.  Other columns stay.
     """
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    gone = aligned(known, min_words).select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at"))
+    gone = aligned(known, min_words).select(F.col("doc_id").alias("__aligned_doc"), F.col("at").alias("__aligned_at"))
     # Lines that go are known by place; the text is cut into lines only where some go.
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_at", i)), "\n")
-    joined = docs.join(stage(gone, "aligned"), docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__aligned_at", i)), "\n")
+    joined = docs.join(stage(gone, "aligned"), docs["doc_id"].cast("long") == F.col("__aligned_doc"), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    columns = [docs[c] if c != "text" else F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, n.alias("n_lines"), F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("n_removed"))
+    columns = [docs[c] if c != "text" else F.when(F.col("__aligned_at").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, n.alias("n_lines"), F.coalesce(F.size("__aligned_at"), F.lit(0)).cast("long").alias("n_removed"))

@@ -26,7 +26,7 @@ HEADLINE = (
     "scan_type_breakdown", "schema_report", "audit_latest", "audit_rollup",
     "statement_counters", "history_last_60", "active_sessions", "idle_sessions",
     "health_state", "rate_flag", "latency_summary", "rules_first_match",
-    "findings_uncovered",
+    "findings_uncovered", "redact_documents", "token_scan_documents",
 )
 
 

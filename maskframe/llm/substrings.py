@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,51 +165,72 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     return rows.withColumn("dealt", dealt).repartition("dealt").select(*CANDIDATES.names).mapInArrow(_confirmed, "doc_id long, at int, n int, first_doc long, first_at int")
 
 
-def _letters(codes: np.ndarray, base: int) -> str:
+def _letters(codes: np.ndarray) -> str:
     """Three letters for each code, each from a range of its own, so that no match can begin inside a word."""
+    base = int(codes.max() ** (1 / 3)) + 2
     spelled = np.stack([codes // base**2, codes // base % base + base, codes % base + 2 * base], axis=1)
     return (spelled + 0x100).astype("<u2").tobytes().decode("utf-16-le")
 
 
-def locate(docs: np.ndarray, hashes: np.ndarray, before: np.ndarray, found: list[tuple[int, int, int, int, int]], window: int) -> np.ndarray:
+def passages(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Runs (text, at, n, first_doc, first_at) that follow each other here and where they occur first, as one."""
+    text, at, n, first_doc, first_at = (x[np.lexsort((runs[1], runs[0]))] for x in runs)
+    new = np.ones(len(at), dtype=bool)
+    ends = at + n
+    new[1:] = (text[1:] != text[:-1]) | (at[1:] != ends[:-1]) | (first_doc[1:] != first_doc[:-1]) | (first_at[1:] != (first_at + n)[:-1])
+    start = np.flatnonzero(new)
+    return text[start], at[start], np.add.reduceat(n, start), first_doc[start], first_at[start]
+
+
+def locate(docs: np.ndarray, hashes: np.ndarray, before: np.ndarray, runs: tuple[np.ndarray, ...], window: int) -> np.ndarray:
     """Whether each word of a shard's documents goes.
 
-    ``found``: (text, at, n, first_doc, first_at) runs of windows of these texts.  Each
-    distinct run is a passage of n + window - 1 words; the automaton of all of them
-    reads every text.
+    ``runs``: text, at, n, first_doc, first_at of confirmed windows of these texts.  Each
+    distinct passage of n + window - 1 words goes into the automaton, which reads
+    every text.
     """
     gone = np.zeros(len(hashes), dtype=bool)
-    if not found:
+    if not len(runs[0]):
         return gone
-    codes = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
-    base = int(codes.max() ** (1 / 3)) + 2
-    passages, automaton = {}, ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    firsts: list[set] = []
-    for text, at, n, first_doc, first_at in found:
-        spelled = _letters(codes[before[text] + at : before[text] + at + n + window - 1], base)
-        k = passages.setdefault(spelled, len(passages))
-        if k == len(firsts):
-            firsts.append(set())
-            automaton.add_word(spelled, k + 1)
-        firsts[k].add((first_doc, first_at))
+    spelled = _letters(np.unique(hashes, return_inverse=True)[1].astype(np.int64))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    number: dict[str, int] = {}
+    earliest: list[tuple[int, int]] = []
+    lengths: list[int] = []
+    text, at, n, first_doc, first_at = passages(runs)
+    start = before[text] + at
+    for a, b, doc, place in zip((3 * start).tolist(), (3 * (start + n + window - 1)).tolist(), first_doc.tolist(), first_at.tolist(), strict=True):
+        passage = spelled[a:b]
+        k = number.setdefault(passage, len(earliest))
+        if k == len(earliest):
+            automaton.add_word(passage, k)
+            earliest.append((doc, place))
+            lengths.append(b - a)
+        elif (doc, place) < earliest[k]:
+            earliest[k] = (doc, place)
     automaton.make_automaton()
-    lengths = [len(p) for p in passages]
-    earliest = [min(f) for f in firsts]
     spans = []
-    for i, doc in enumerate(docs.tolist()):
-        for end, k in automaton.iter(_letters(codes[before[i] : before[i + 1]], base)):
-            start = (end + 1 - lengths[k - 1]) // 3
-            if (doc, start) > earliest[k - 1]:
-                spans.append((before[i] + start, before[i] + (end + 1) // 3))
+    for doc, a, b in zip(docs.tolist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
+        for end, k in automaton.iter(spelled[3 * a : 3 * b]):
+            first = (end + 1 - lengths[k]) // 3
+            if (doc, first) > earliest[k]:
+                spans.append((a + first, a + (end + 1) // 3))
     if spans:
         edge = np.zeros(len(hashes) + 1, np.int64)
-        a, b = np.array(spans).T
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
+        first, last = np.array(spans).T
+        np.add.at(edge, first, 1)
+        np.add.at(edge, last, -1)
         gone = np.cumsum(edge)[:-1] > 0
     return gone
 
 
+def _runs(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Text, at, n, first_doc and first_at of all runs of a column of lists."""
+    counts = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+    held = column.flatten()
+    return np.repeat(np.arange(len(column)), counts), *(held.field(k).to_numpy().astype(np.int64) for k in ("at", "n", "first_doc", "first_at"))
+
+
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
@@ -228,10 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
             ids, found = batch.column(0).to_numpy(), batch.column(2)
             for at, hashes, before, _, (data, starts, ends) in word_hashes(batch.column(1), white_space()):
                 here = ids[at : at + len(before) - 1]
-                shard = []
-                for i, held in enumerate(found.slice(at, len(here)).to_pylist()):
-                    shard += [(i, r["at"], r["n"], r["first_doc"], r["first_at"]) for r in held or ()]
-                gone = locate(here, hashes, before, shard, window)
+                gone = locate(here, hashes, before, _runs(found.slice(at, len(here))), window)
                 raw, out = data.tobytes(), []
                 a, b, stays = starts.tolist(), ends.tolist(), (~gone).tolist()
                 for i, doc in enumerate(here.tolist()):

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from maskframe.llm.store import stage
 
 
+def _is_done(links: DataFrame) -> bool:
+    """Whether every node that has a smaller neighbour has one only, which has none itself."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``a``, ``b`` links that is not its component's smallest one.
 
@@ -16,8 +23,8 @@ def components(links: DataFrame) -> DataFrame:
     many links can be split over tasks.
     """
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = stage(links, "links"), None
-    while True:
+    links = stage(links, "links")
+    while not _is_done(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -25,7 +32,4 @@ def components(links: DataFrame) -> DataFrame:
         least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -276,4 +276,6 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     Rows that repeat an id are near copies of each other; one of them stays.
     """
     kept = near_copies(docs, n, threshold, recall).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(stage(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # The ids that stay are nearly as many as the documents: a merge join at every size.
+    held = stage(kept, "kept").hint("merge")
+    return docs.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -124,7 +124,8 @@ def remove_aligned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = aligned(known, min_words).select(F.col("doc_id").alias("__aligned_doc"), F.col("at").alias("__aligned_at"))
     # Lines that go are known by place; the text is cut into lines only where some go.
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__aligned_at", i)), "\n")
-    joined = docs.join(stage(gone, "aligned"), docs["doc_id"].cast("long") == F.col("__aligned_doc"), "left")
+    # Positions grow with the documents: a merge join at every size.
+    joined = docs.join(stage(gone, "aligned").hint("merge"), docs["doc_id"].cast("long") == F.col("__aligned_doc"), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     columns = [docs[c] if c != "text" else F.when(F.col("__aligned_at").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, n.alias("n_lines"), F.coalesce(F.size("__aligned_at"), F.lit(0)).cast("long").alias("n_removed"))

@@ -32,7 +32,7 @@ WINDOW, STEP = 8, 4
 #: Share of an n-gram's vector that goes in each step that uses it, times the rate.
 DECAY = 0.004
 #: Texts of each label that a model is fitted on, about.
-SAMPLE = 2500
+SAMPLE = 1500
 
 
 def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

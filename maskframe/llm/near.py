@@ -5,8 +5,10 @@ and rows are chosen for a target recall.  Within a bucket of a band, members are
 compared by a sketch of all their minima: first each with the bucket's smallest
 member, by joins, so that no bucket is ever brought together; what is not clearly
 like that one is compared in blocks.  Sketch links only gather families; inside a
-family every pair of blocks is verified exactly on the full sets, as products of
-0/1 matrices, so links are counted without a row for each.
+family every pair of blocks that sizes allow a link is verified exactly on the full
+sets, as products of 0/1 matrices, so links are counted without a row for each.
+Blocks have at most about ``BLOCK_MOST`` rows and ``BLOCK_BYTES`` of grams however large the
+family is; what grows with it is the number of pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from maskframe.llm.words import mix, ranges, run_hashes, white_space, word_hashe
 
 #: Hashes that a signature may have.
 HASHES = 128
-#: Sketches less alike than this are not near copies of one family; far below any threshold less the sketch's error.
-LOOSE = 0.35
-#: Rows in a block of a bucket or family, at least, and blocks of one, about.
-BLOCK, BLOCKS = 200, 32
+#: Rows in a block of a bucket or family: at least, and at most, about; between them as many as make ``BLOCKS`` blocks.
+BLOCK, BLOCK_MOST, BLOCKS = 200, 1000, 32
+#: Bytes of grams in a block, about; a set that is larger alone is a block.
+BLOCK_BYTES = 4 << 20
+#: Blocks of a size class are numbered below this.
+_CLASS = 1 << 32
 
 
 def banding(threshold: float, recall: float) -> tuple[int, int]:
@@ -120,19 +124,43 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _block_pairs(df: DataFrame, size: str, node: str, key: str) -> DataFrame:
-    """Each row once for every pair of blocks that its block is in; ``i`` and ``j`` name the pair, ``mine`` the row's own block."""
-    wide = F.expr(f"greatest({BLOCK}, ceil({size} / {BLOCKS}))")
-    blocks = F.ceil(F.col(size) / wide).cast("int")
-    df = df.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(node, key), F.col("blocks")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("blocks", "other")
+def loose(threshold: float, k: int) -> float:
+    """Sketches of k minima less alike than this are not of one family.
+
+    What is ``clear`` (2 * threshold - 1) with the first one may have a near copy that
+    is as little as 3 * threshold - 2 like it; three standard errors of the sketch less.
+    """
+    like = max(3 * threshold - 2, 0)
+    return 3 * threshold - 2 - 3 * math.sqrt(like * (1 - like) / k)
+
+
+def _block_pairs(df: DataFrame, node: str, key: str, threshold: float) -> DataFrame:
+    """Each row once for every pair of blocks that its block is in; ``i`` and ``j`` name the pair, ``mine`` the row's own block.
+
+    ``n`` is the size of a row's set.  Where a key has more than one block, blocks are made
+    within classes of size as wide as the threshold allows two near copies to differ,
+    and meet those of their own class and the next ones only.  Keys of one row are left out.
+    """
+    wide = max(-math.log(threshold), 1e-6) * (1 + 1e-9)
+    df = df.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide)).cast("long"))
+    counted = df.groupBy(key, "cls").agg(F.count("*").alias("size"), F.sum(F.col("n").cast("long") * 8).alias("bytes"))
+    whole = counted.groupBy(key).agg(F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.collect_list(F.struct("cls", "size", "bytes")).alias("parts")).where("size > 1")
+    rows = f"least({BLOCK_MOST}, greatest({BLOCK}, ceil(size / {BLOCKS})))"
+    parts = F.expr(f"map_from_entries(transform(parts, x -> struct(x.cls, greatest(ceil(x.size / {rows}), ceil(x.bytes / {BLOCK_BYTES})))))")
+    whole = whole.select(key, F.when(F.expr(f"size > {BLOCK} or bytes > {BLOCK_BYTES}"), parts).alias("blocks"))
+    df = df.join(stage(whole, "blocks"), key)
+    mine = F.expr(f"cls * {_CLASS} + pmod(xxhash64({node}, {key}), blocks[cls])")
+    others = F.expr(f"flatten(transform(filter(array(cls - 1, cls, cls + 1), c -> blocks[c] is not null), c -> sequence(c * {_CLASS}, c * {_CLASS} + blocks[c] - 1)))")
+    df = df.withColumn("mine", F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(mine))
+    df = df.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)))
+    return df.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("blocks", "cls", "other")
 
 
 def _sketch_links(reps: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     """Links ``a``, ``b`` that put any two likely near copies into one family."""
     k = bands * rows
     clear = 2 * threshold - 1  # what is at least this much like the first one leaves none of its own near copies behind
+    linking = loose(threshold, k)
     keyed = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = stage(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1").drop("size"), "buckets")
     pairs = keyed.join(shared, "bucket").where("rep != hub")
@@ -143,27 +171,31 @@ def _sketch_links(reps: DataFrame, bands: int, rows: int, threshold: float) -> D
         for batch in batches:
             if batch.num_rows:
                 like = _alike(_sketches(batch.column(3), k), _sketches(batch.column(4), k))
-                linked, left = like >= LOOSE, like < clear
+                linked, left = like >= linking, like < clear
                 b = pa.array(batch.column(2).to_numpy(), mask=~linked)
                 kept = pa.array(linked | left)
                 yield pa.record_batch([batch.column(0), batch.column(1), b, pa.array(left)], names=["bucket", "a", "b", "left"]).filter(kept)
 
     first = stage(pairs.select("bucket", "rep", "hub", "sketch", "hub_sketch").mapInArrow(compare, "bucket long, a long, b long, left boolean"), "firsts")
-    left = first.where("left").select("bucket", F.col("a").alias("rep"))
-    sizes = stage(left.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    left = _block_pairs(left.join(sizes, "bucket"), "size", "rep", "bucket").join(sketches, "rep")
+    left = stage(first.where("left").select("bucket", F.col("a").alias("rep")).join(reps.select("rep", "n"), "rep"), "left")
+    left = _block_pairs(left, "rep", "bucket", threshold).join(sketches, "rep")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for group in _groups(batches, ["bucket", "i", "j"]):
             node, own = np.unique(group["rep"].to_numpy(), return_index=True)
             sketch, rest = _sketches(group["sketch"], k)[own], np.arange(len(node))
+            label = rest.copy()  # only links that join two families go out, fewer than there are rows
             while len(rest) > 1:
                 hub, rest = rest[0], rest[1:]
                 like = _alike(sketch[rest], sketch[hub])
-                linked = node[rest[like >= LOOSE]]
-                a.append(linked)
-                b.append(np.full(len(linked), node[hub]))
+                linked = rest[like >= linking]
+                joined, at = np.unique(label[linked], return_index=True)
+                at = at[joined != label[hub]]
+                if len(at):
+                    a.append(node[linked[at]])
+                    b.append(np.full(len(at), node[hub]))
+                    label[np.isin(label, joined)] = label[hub]
                 rest = rest[like < clear]
         if a:
             yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -172,18 +204,21 @@ def _sketch_links(reps: DataFrame, bands: int, rows: int, threshold: float) -> D
     return first.where("b is not null").select("a", "b").unionByName(rest.mapInArrow(inside, "a long, b long"))
 
 
-def _verified(reps_texts: DataFrame, n: int, threshold: float) -> DataFrame:
+def _verified(texts: DataFrame, family: DataFrame, n: int, threshold: float) -> DataFrame:
     """Per row of a block pair: ``a``, its number of links in the pair ``n_links``, and the smallest document ``b`` that they lead to."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, hashes, before, _, _ in word_hashes(batch.column(1), white_space()):
                 found, bounds = grams(hashes, before, n)
-                size = len(bounds) - 1
-                yield pa.record_batch([batch.column(0).slice(at, size), batch.column(2).slice(at, size), batch.column(3).slice(at, size), binary(found.astype("<u8"), np.diff(bounds), 8)], names=["rep", "family", "size", "grams"])
+                yield pa.record_batch([batch.column(0).slice(at, len(bounds) - 1), binary(found.astype("<u8"), np.diff(bounds), 8)], names=["rep", "grams"])
 
-    with_sets = reps_texts.select("rep", "text", "family", "size").mapInArrow(sets, "rep long, family long, size long, grams binary")
-    rows = _block_pairs(with_sets, "size", "rep", "family").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    inside = texts.withColumnRenamed("doc_id", "rep").join(family.select("rep"), "rep").dropDuplicates(["rep"])
+    with_sets = stage(inside.select("rep", "text").mapInArrow(sets, "rep long, grams binary"), "sets")
+    # The sizes are those of the sets that are compared, also where an id has several texts.
+    sized = family.join(with_sets.select("rep", F.expr("cast(octet_length(grams) div 8 as int)").alias("n")).where("n > 0"), "rep")
+    rows = _block_pairs(stage(sized, "sized"), "rep", "family", threshold).join(with_sets, "rep")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, links = [], [], []
@@ -256,14 +291,12 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     signed = stage(signatures(texts, n, bands, rows), "signatures")
     classes = stage(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     member = signed.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = signed.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("rep"), "bands", "sketch")
+    reps = signed.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "bands", "sketch")
     reps = stage(reps.dropDuplicates(["rep"]), "representatives")
     gathered = components(_sketch_links(reps, bands, rows, threshold))
     family = stage(gathered.unionByName(gathered.select(F.col("component").alias("node"), "component").distinct()), "families")
-    sizes = stage(family.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    family = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
-    inside = texts.join(family, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text", "family", "size")
-    links = stage(_verified(inside, n, threshold), "verified")
+    family = family.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    links = stage(_verified(texts, family, n, threshold), "verified")
     found = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
     known = stage(counts.join(found, "rep", "left"), "linked")

@@ -125,6 +125,31 @@ def test_near_copies_planted(spark, make, near_docs, monkeypatch):
     assert as_classes(got) == classes(near_docs)
 
 
+def test_near_copies_blocks_of_sizes(spark, make, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "BLOCK_MOST", 8)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 4000)
+    rnd = random.Random(12)
+    w = [f"c{k}" for k in range(120)]
+    docs = [(i, " ".join(w[rnd.randint(0, 12) : 120 - rnd.randint(0, 60)])) for i in range(200)]
+    for threshold in (0.8, 0.9, 0.5):
+        assert as_classes(near.near_copies(make(docs).repartition(5), threshold=threshold)) == classes(docs, threshold)
+
+
+def test_near_copies_blocks_stay_small(spark):
+    sets = spark.range(20_000).select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("family"), (F.col("id") % 100 * 30 + 50).cast("int").alias("n"))
+    met = near._block_pairs(sets, "rep", "family", 0.8)
+    held = met.groupBy("i", "j").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes")).agg(F.max("rows").alias("rows"), F.max("bytes").alias("bytes")).first()
+    assert held.rows < 2 * 1.3 * near.BLOCK_MOST and held.bytes < 2 * 1.3 * near.BLOCK_BYTES
+    pairs = met.groupBy("i", "j").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    assert pairs.where("least < 0.8 * 0.8 * 0.8 * most").count() == 0  # only neighbouring classes of size meet
+
+
+def test_loose():
+    assert all(near.loose(t, 120) <= 2 * t - 1 for t in (0.1, 0.5, 0.8, 0.9, 1.0))
+    assert near.loose(0.8, 120) < 0.4 and near.loose(0.95, 120) > 0.6
+
+
 def test_keep_one(spark, make, near_docs):
     docs = make([*near_docs, near_docs[0]])
     kept = near.keep_one(docs)

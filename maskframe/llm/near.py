@@ -306,9 +306,21 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, with all its columns.
 
-    Rows that repeat an id are near copies of each other; one of them stays.
+    Rows with a null id stay as they are.  Rows that repeat an id and its text are
+    one, and one of them stays; different texts with one id are compared as any others.
     """
-    kept = near_copies(docs, n, threshold, recall).where("doc_id = class_id").select("doc_id").distinct()
+    text, key = F.coalesce(F.col("text").cast("string"), F.lit("")), "__near_key"
+    doc, known = F.col("doc_id").cast("long"), docs.where(F.col("doc_id").cast("long").isNotNull())
+    # Of an id with several texts the one with the smallest hash keeps it, the others get keys of their own.
+    hashed = known.select(doc.alias("__near_doc"), F.xxhash64(text).alias("__near_hash"))
+    several = stage(hashed.groupBy("__near_doc").agg(F.min("__near_hash").alias("__near_first"), F.max("__near_hash").alias("last")).where("__near_first < last").drop("last"), "repeated-ids")
+    own = F.when(F.col("__near_first").isNull() | (F.xxhash64(text) == F.col("__near_first")), doc).otherwise(F.xxhash64(doc, F.xxhash64(text)))
+    keyed = known.join(several, doc == F.col("__near_doc"), "left").withColumn(key, own).select(*docs.columns, key)
+    extra = hashed.join(several, "__near_doc").where("__near_hash != __near_first")
+    extra = stage(extra.select(F.xxhash64("__near_doc", "__near_hash").alias(key), "__near_doc").distinct(), "further-texts")
+    copies = near_copies(keyed.select(F.col(key).alias("doc_id"), "text"), n, threshold, recall).withColumnRenamed("doc_id", key).join(extra, key, "left")
+    kept = copies.groupBy("class_id").agg(F.min(F.struct(F.coalesce("__near_doc", key).alias("id"), F.col(key))).alias("least")).select(F.col(f"least.{key}"))
     # The ids that stay are nearly as many as the documents: a merge join at every size.
     held = stage(kept, "kept").hint("merge")
-    return docs.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    whole = keyed.join(held, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return whole.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))

@@ -158,6 +158,13 @@ def test_keep_one(spark, make, near_docs):
     assert near.keep_one(make([])).count() == 0
 
 
+def test_keep_one_null_and_repeated_ids(spark, make):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    docs = [(None, text(0)), (None, text(0)), (None, None), (1, text(0)), (2, text(0)), (3, text(1)), (3, text(2)), (3, text(2)), (4, text(2)), (5, text(3)), (6, text(3)), (6, text(4))]
+    kept = [(r.doc_id, r.text) for r in near.keep_one(make(docs)).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, text(0)), (None, text(0)), (None, None), (1, text(0)), (3, text(1)), (3, text(2)), (5, text(3)), (6, text(4))], key=repr)
+
+
 def test_banding():
     bands, rows = near.banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= near.HASHES

@@ -8,10 +8,11 @@
    before they are shuffled, so a phrase that a third of all documents share is
    one row for each batch.
 2. *Compile.*  Consecutive confirmed windows that first occur consecutively in one
-   document form a passage.  The passages of each shard of documents become an
+   document form a passage.  The passages of each chunk of documents become an
    Aho-Corasick automaton.
-3. *Stream.*  All documents of the shard run through it; each place where a passage
-   occurs, other than its first, goes.
+3. *Stream.*  All documents of the chunk run through it; each place where a passage
+   occurs, other than its first, goes.  The join has given all these places already,
+   as the chunk's passages are those found in its own documents.
 
 Hashes of windows have 64 bits for the phrase and 40 more for the window.
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import chat, decontaminate, fingerprint, language, lines, near, packing, substrings, tokenfile, toxicity
+from maskframe.llm import chat, decontaminate, fingerprint, language, lines, near, packing, runs, substrings, tokenfile, toxicity
 from maskframe.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(turns.unionByName(chat.hostile(spark)))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the periodic runs of every document, after a tenth of them were given periodic tails."""
+    return runs.digests(runs.collapse(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
 def registered() -> dict[str, Query]:
     return {
         q.__name__: q
-        for q in (op1_decontamination, op2_token_file, op3_fingerprints, op4_substring_dedup, op5_ngram_join, op6_packing, op7_line_dedup, op8_toxicity, op9_language, op10_chat)
+        for q in (op1_decontamination, op2_token_file, op3_fingerprints, op4_substring_dedup, op5_ngram_join, op6_packing, op7_line_dedup, op8_toxicity, op9_language, op10_chat, op13_runs)
     }

@@ -36,4 +36,5 @@ def odd_rows():
 
 @pytest.fixture(scope="session")
 def documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+    """Rows, not a cached table: a cache would change the plans of every later test over the same path."""
+    return spark.read.parquet(f"{sf}/documents.parquet").collect()

@@ -98,9 +98,9 @@ def check_fingerprints(rows, docs):
 
 def test_fingerprints_query(spark, sf, documents):
     rows = op3_fingerprints(spark, sf).collect()
-    check_fingerprints(rows, [(d.doc_id, d.text) for d in documents.collect()])
+    check_fingerprints(rows, [(d.doc_id, d.text) for d in documents])
     by_text = defaultdict(set)
-    texts = {d.doc_id: d.text for d in documents.collect()}
+    texts = {d.doc_id: d.text for d in documents}
     for r in rows:
         by_text[texts[r.doc_id]].add(r.fingerprint)
     assert all(len(x) == 1 for x in by_text.values())

@@ -41,7 +41,7 @@ def as_repeats(df):
 
 
 def test_repeated_passages_query(spark, sf, documents):
-    assert as_repeats(op4_substring_dedup(spark, sf)) == without_repeats([(d.doc_id, d.text) for d in documents.collect()])
+    assert as_repeats(op4_substring_dedup(spark, sf)) == without_repeats([(d.doc_id, d.text) for d in documents])
 
 
 def test_repeated_passages_planted(spark, make):
@@ -102,7 +102,7 @@ def as_classes(df):
 
 
 def test_near_copies_query(spark, sf, documents):
-    assert as_classes(op5_ngram_join(spark, sf)) == classes([(d.doc_id, d.text) for d in documents.collect()])
+    assert as_classes(op5_ngram_join(spark, sf)) == classes([(d.doc_id, d.text) for d in documents])
 
 
 @pytest.fixture(scope="module")
@@ -226,7 +226,7 @@ def without_aligned(docs, least=lines.MIN_WORDS):
 
 def test_aligned_lines_query(spark, sf, documents):
     got = {r.doc_id: (r.text, r.n_removed) for r in op7_line_dedup(spark, sf).collect()}
-    assert got == without_aligned([(d.doc_id, d.text) for d in documents.collect()])
+    assert got == without_aligned([(d.doc_id, d.text) for d in documents])
 
 
 def test_aligned_lines_planted(spark, make):
@@ -291,7 +291,7 @@ def brute_leaks(docs, items, threshold=0.5, overlap=0.5):
 def test_leaks_query(spark, sf, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in op1_decontamination(spark, sf).collect()}
-    assert got == brute_leaks([(d.doc_id, d.text) for d in documents.collect()], items)
+    assert got == brute_leaks([(d.doc_id, d.text) for d in documents], items)
     assert got
 
 

@@ -52,7 +52,7 @@ def test_variable_length_code(n):
 def test_token_file_query(spark, sf, documents, ids_of):
     rows = {r.doc_id: r for r in op2_token_file(spark, sf).collect()}
     start = 0
-    docs = documents.orderBy("doc_id").collect()
+    docs = sorted(documents, key=lambda d: d.doc_id)
     assert len(rows) == len(docs)
     for d in docs:
         ids = ids_of(d.text)
@@ -142,7 +142,7 @@ def check_packing(rows, docs, ids_of):
 
 def test_packing_query(spark, sf, documents, ids_of):
     rows = op6_packing(spark, sf).collect()
-    used, tokens = check_packing(rows, [(d.doc_id, d.text) for d in documents.collect()], ids_of)
+    used, tokens = check_packing(rows, [(d.doc_id, d.text) for d in documents], ids_of)
     assert used <= 1.03 * -(-tokens // 1024)
 
 

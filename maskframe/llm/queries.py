@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import chat, decontaminate, fingerprint, language, lines, near, negatives, packing, runs, substrings, tokenfile, toxicity
+from maskframe.llm import chat, decontaminate, fingerprint, language, lines, near, negatives, packing, runs, sites, substrings, tokenfile, toxicity
 from maskframe.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.with_moved_labels(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return sites.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the periodic runs of every document, after a tenth of them were given periodic tails."""
     return runs.digests(runs.collapse(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
@@ -67,7 +72,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         q.__name__: q
-        for q in (op1_decontamination, op2_token_file, op3_fingerprints, op4_substring_dedup, op5_ngram_join, op6_packing, op7_line_dedup, op8_toxicity, op9_language, op10_chat, op11_hard_negatives, op13_runs)
+        for q in (op1_decontamination, op2_token_file, op3_fingerprints, op4_substring_dedup, op5_ngram_join, op6_packing, op7_line_dedup, op8_toxicity, op9_language, op10_chat, op11_hard_negatives, op12_main_text, op13_runs)
     }
 
 

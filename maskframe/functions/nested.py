@@ -115,13 +115,20 @@ def mask_json(c: Column | str, salt: str = "") -> Column:
     return bind(c, lambda v: mask_json_sql(v, salt))
 
 
-def mask_pg_array_sql(v: str, salt: str = "") -> str:
-    shaped = (
+def _pg_shaped(v: str) -> str:
+    return (
         f"startswith({v}, '{{') AND endswith({v}, '}}') AND length({v}) >= 2 "
         f"AND {matches(v, P.ARRAY_HINT)}"
     )
-    body = _replaced(_array_pairs(v), salt)
-    return case([(shaped, f"concat('{{', {body}, '}}')")], otherwise=v)
+
+
+def _mask_elements(v: str, salt: str) -> str:
+    """Array text with its own brackets around masked elements."""
+    return f"concat(left({v}, 1), {_replaced(_array_pairs(v), salt)}, right({v}, 1))"
+
+
+def mask_pg_array_sql(v: str, salt: str = "") -> str:
+    return case([(_pg_shaped(v), _mask_elements(v, salt))], otherwise=v)
 
 
 def mask_pg_array(c: Column | str, salt: str = "") -> Column:
@@ -137,16 +144,14 @@ def may_hold_pii(v: str) -> str:
 def mask_text_sql(v: str, salt: str = "") -> str:
     # What begins like JSON but is refused (raw control characters, too deep, text
     # behind it) still has its literals masked: personal data is never let through
-    # because its container is broken.
+    # because its container is broken.  A list without quotes is masked by element
+    # unless it is JSON, a list of numbers; elements are classified in one place.
     bare = f"startswith({v}, '[') AND endswith({v}, ']') AND NOT contains({v}, '\"')"
-    listed = f"concat('[', {_replaced(_array_pairs(v), salt)}, ']')"
+    json = f"{matches(v, P.JSON_START)} AND NOT ({bare} AND NOT {is_json_sql(v)})"
+    # Only a list without quotes comes this far with a square bracket.
+    listed = f"startswith({v}, '[') OR ({_pg_shaped(v)})"
     container = case(
-        [
-            # A list without quotes is masked by element unless it is a list of numbers.
-            (f"{bare} AND NOT {is_json_sql(v)}", listed),
-            (matches(v, P.JSON_START), mask_json_sql(v, salt)),
-        ],
-        otherwise=mask_pg_array_sql(v, salt),
+        [(json, mask_json_sql(v, salt)), (listed, _mask_elements(v, salt))], otherwise=v
     )
     inside = case([(may_hold_pii(v), container)])
     return f"coalesce({fake_or_null(v, salt)}, {inside}, {v})"

@@ -44,6 +44,11 @@ def _count_name(t: str) -> str:
 COUNT_NAMES = tuple(_count_name(t) for t in P.PII_TYPES)
 
 
+# Cells are counted by the number of their column; its names come in one row for each.
+_NAMES = ("table", "column", "data_type")
+_NO_NAMES = tuple(f"CAST(NULL AS STRING) AS `{c}`" for c in _NAMES)
+
+
 def _typed_cells(df: DataFrame, fields: list, first: int, order: str | None) -> DataFrame:
     """A row for each cell: number of its column, text, type, place in the order.
 
@@ -58,7 +63,7 @@ def _typed_cells(df: DataFrame, fields: list, first: int, order: str | None) ->
     return (
         df.selectExpr(f"inline(array({cells}))")
         .selectExpr(*kept, f"trim(BOTH {lit(P.WS_CHARS)} FROM v) AS w")
-        .selectExpr(*kept, f"{pii_type_sql('w')} AS t", "1 AS n")
+        .selectExpr(*kept, f"{pii_type_sql('w')} AS t", "1 AS n", *_NO_NAMES)
     )
 
 
@@ -66,7 +71,11 @@ def _counted(cells: DataFrame, ordered: bool) -> DataFrame:
     """Counts per column; every task sends one row for each of its columns."""
     hit = "CASE WHEN t IS NOT NULL THEN {} END"
     first = f"min_by(v, {hit.format('o')})" if ordered else f"min({hit.format('v')})"
-    return cells.groupBy("k").agg(
+    # The names are collected from the one row that has them.  A collecting aggregate also
+    # keeps Spark from sorting all cells by column, as it does for a smallest text alone.
+    names = F.collect_list(F.when(F.col("n") == 0, F.struct(*_NAMES)))
+    counts = cells.groupBy("k").agg(
+        names.alias("names"),
         F.sum("n").alias("row_count"),
         *[
             F.count(F.when(F.col("t") == t, F.lit(1))).alias(_count_name(t))
@@ -74,6 +83,7 @@ def _counted(cells: DataFrame, ordered: bool) -> DataFrame:
         ],
         F.expr(first).alias("first_value"),
     )
+    return counts.select("*", *[F.col("names")[0][c].alias(c) for c in _NAMES])
 
 
 def _dominant() -> Column:
@@ -119,16 +129,20 @@ def profile(tables: dict[str, DataFrame], cfg: ScanConfig = ScanConfig()) -> Dat
     )
     counted = []
     for kind, parts in cells.items():
-        # A row that counts nothing for each column, so that empty tables are listed.
+        # A row for each column that counts nothing and has its names, so that empty
+        # tables are listed and no join with the names is needed.
         empty = numbered.where(F.col("kind").eqNullSafe(F.lit(kind))).selectExpr(
             "k",
             "CAST(NULL AS STRING) AS v",
             *([f"CAST(NULL AS {kind}) AS o"] if kind else []),
             "CAST(NULL AS STRING) AS t",
             "0 AS n",
+            "`table`",
+            "`column`",
+            "data_type",
         )
         counted.append(_counted(reduce(DataFrame.unionByName, [*parts, empty]), kind is not None))
-    long = reduce(DataFrame.unionByName, counted).join(numbered.drop("kind"), "k")
+    long = reduce(DataFrame.unionByName, counted)
     matches = reduce(lambda a, b: a + b, [F.col(n) for n in COUNT_NAMES])
     return long.select(
         "table",

@@ -710,7 +710,7 @@ def audit_admitted(spark, d):
 @query
 def audit_retention(spark, d):
     """A6."""
-    return A.retain(audit_rows(spark, d))
+    return A.retain(audit_rows(spark, d), A.KEPT_AUDIT_ROWS)
 
 
 @query

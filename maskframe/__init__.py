@@ -12,7 +12,14 @@ from maskframe.functions.detect import (
 )
 from maskframe.functions.nested import leaf_scan, mask_json, mask_nested, mask_pg_array, mask_text
 from maskframe.functions.partial import mask_sample, partial, preview, quick
-from maskframe.functions.prose import holds_personal_data, redact_text, token_scan
+from maskframe.functions.prose import (
+    holds_personal_data,
+    mask_prose,
+    prose_log,
+    prose_scan,
+    redact_text,
+    token_scan,
+)
 from maskframe.functions.sql import register_functions
 from maskframe.functions.strategies import mask_value, register_strategy, strategy_names
 from maskframe.operators.discover import (
@@ -66,9 +73,9 @@ __all__ = [
     "change_log", "columns_df", "contains_pii", "export_rules", "findings", "holds_personal_data",
     "import_rules",
     "is_json", "is_scannable", "leaf_scan", "load_policy", "looks_like_json",
-    "looks_like_pg_array", "mask", "mask_json", "mask_nested", "mask_pg_array", "mask_sample",
+    "looks_like_pg_array", "mask", "mask_json", "mask_nested", "mask_pg_array", "mask_prose", "mask_sample",
     "mask_sql", "mask_text", "mask_value", "masking_counters", "masking_counters_wide",
-    "name_pii_type", "observed", "partial", "pii_type", "preview", "profile", "quick",
+    "name_pii_type", "observed", "partial", "pii_type", "preview", "profile", "prose_log", "prose_scan", "quick",
     "read_tables", "redact_text", "register_functions", "register_strategy", "reload", "resolve_rules",
     "resolved_rules_df", "row_counts", "rules_df", "rules_summary", "save_policy", "scan",
     "scan_summary", "schema_report", "session_conf", "strategy_names", "strategy_of",

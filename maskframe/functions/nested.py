@@ -141,18 +141,26 @@ def may_hold_pii(v: str) -> str:
     return f"{looks_like_json_sql(v)} AND {matches(v, P.ARRAY_HINT)}"
 
 
-def mask_text_sql(v: str, salt: str = "") -> str:
-    # What begins like JSON but is refused (raw control characters, too deep, text
-    # behind it) still has its literals masked: personal data is never let through
-    # because its container is broken.  A list without quotes is masked by element
-    # unless it is JSON, a list of numbers; elements are classified in one place.
+def containers(v: str, salt: str = "") -> list[tuple[str, str, str]]:
+    """How text in brackets is masked: (condition, masked text, kind), first hit wins.
+
+    What begins like JSON but is refused (raw control characters, too deep, text
+    behind it) still has its literals masked: personal data is never let through
+    because its container is broken.  A list without quotes is masked by element
+    unless it is JSON, a list of numbers; elements are classified in one place.
+    """
     bare = f"startswith({v}, '[') AND endswith({v}, ']') AND NOT contains({v}, '\"')"
     json = f"{matches(v, P.JSON_START)} AND NOT ({bare} AND NOT {is_json_sql(v)})"
-    # Only a list without quotes comes this far with a square bracket.
+    # Only a list without quotes comes past JSON with a square bracket.
     listed = f"startswith({v}, '[') OR ({_pg_shaped(v)})"
-    container = case(
-        [(json, mask_json_sql(v, salt)), (listed, _mask_elements(v, salt))], otherwise=v
-    )
+    return [
+        (json, mask_json_sql(v, salt), "json (heuristic)"),
+        (listed, _mask_elements(v, salt), "array (heuristic)"),
+    ]
+
+
+def mask_text_sql(v: str, salt: str = "") -> str:
+    container = case([c[:2] for c in containers(v, salt)], otherwise=v)
     inside = case([(may_hold_pii(v), container)])
     return f"coalesce({fake_or_null(v, salt)}, {inside}, {v})"
 

@@ -137,10 +137,10 @@ ARRAY_HINT = rf'\\|[\[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[\]}},"]'
 
 # One piece of free text that is personal data: no letter, digit or sign that
 # such a value can have stands right before it, and no letter or digit after it.
-# The types are tried in their order, so the longest reading of a place wins.
+# Where several types can be read at one place the first in their order wins.
 _BEFORE = rf"(?<![{_LETTER}{_D}._%+@/-])"
 _AFTER = rf"(?![{_LETTER}{_D}@]|[-./]{_D})"
-IN_TEXT = {t: rf"{_BEFORE}{BODIES[t]}{_AFTER}" for t in PII_TYPES}
+ANY_IN_TEXT = rf"{_BEFORE}(?:" + "|".join(BODIES[t] for t in PII_TYPES) + rf"){_AFTER}"
 
 # Free text without such a place holds none of the seven: "@", or two digits
 # with at most a few signs between them.

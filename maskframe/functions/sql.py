@@ -1,4 +1,4 @@
-"""SQL names for the scalar functions: ``pii_type``, ``mask_value``, ``mask_sample``.
+"""SQL names for the scalar functions, from ``pii_type`` to ``redact_text``.
 
 They are SQL-bodied temporary functions, which Spark inlines into the plan; no
 Python runs per row.
@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from maskframe.functions.detect import pii_type_sql
 from maskframe.functions.nested import mask_json_sql, mask_text_sql
 from maskframe.functions.partial import mask_sample_sql
+from maskframe.functions.prose import mask_prose_sql, redact_text_sql
 from maskframe.functions.sqltext import case, lit
 from maskframe.functions.strategies import BUILT_IN, FALLBACK, fake_sql
 
@@ -28,6 +29,8 @@ def register_functions(spark: SparkSession) -> None:
         ("mask_sample(v STRING)", mask_sample_sql("v")),
         ("mask_json(v STRING)", mask_json_sql("v")),
         ("mask_text(v STRING)", mask_text_sql("v")),
+        ("mask_prose(v STRING)", mask_prose_sql("v")),
+        ("redact_text(v STRING)", redact_text_sql("v")),
     ):
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS STRING RETURN {body}"

@@ -15,14 +15,15 @@ from maskframe.functions import patterns as P
 from maskframe.functions.detect import case_by_type, is_json_sql
 from maskframe.functions.nested import (
     TEXT_TYPES,
+    containers,
     holds_text,
     mask_json_sql,
     mask_nested_sql,
-    mask_pg_array_sql,
     mask_text_sql,
     may_hold_pii,
 )
 from maskframe.functions.partial import mask_sample_sql, preview_sql
+from maskframe.functions.prose import mask_prose_sql
 from maskframe.functions.sqltext import bind, case, lit, quote
 from maskframe.functions.strategies import (
     CONSTANTS,
@@ -103,6 +104,8 @@ def _by_rule(name: str, dt: T.DataType, strategy: str, salt: str, strict: bool)
     if strategy == "json":
         nested = isinstance(dt, _NESTED)
         return F.expr(mask_nested_sql(v, dt, salt) if nested else _json_rule_sql(v, salt))
+    if strategy == "prose":
+        return F.expr(mask_prose_sql(v, salt))
     return mask_value(name, strategy, salt, strict)
 
 
@@ -132,10 +135,10 @@ def mask(
 ) -> DataFrame:
     """Mask a batch or streaming DataFrame.
 
-    A column with a rule is masked wherever it is not null; any other text
-    column is masked where its value is detected, alone or inside JSON, array
-    text or a nested type.  A rule turns a non-text column into STRING (``dob``
-    keeps DATE).  ``coerce`` also searches the text form of numbers, dates,
+    A column with a rule is masked wherever it is not null (by ``prose``: wherever
+    personal data stands in its text); any other text column is masked where its
+    value is detected, alone or inside JSON, array text or a nested type.  A rule
+    turns a non-text column into STRING (``dob`` keeps DATE).  ``coerce`` also searches the text form of numbers, dates,
     booleans and binaries; all but binaries become STRING.
     """
     if not policy.masking_enabled:
@@ -144,15 +147,22 @@ def mask(
     rules = resolve_rules(df.schema, policy, table, ignore_table)
     df, rules = _by_position(df, rules)
     df = _as_text(df, rules, coerce)
-    out = []
-    for name, f in zip(names, df.schema.fields):
-        masked = (
-            _by_rule(f.name, f.dataType, rules[f.name], salt, strict_reference)
-            if f.name in rules
-            else _by_heuristic(f.name, f.dataType, salt, coerce)
-        )
-        out.append((F.col(quote(f.name)) if masked is None else masked).alias(name))
-    return df.select(*out)
+    cells = [_cell(f, rules, salt, coerce, strict_reference) for f in df.schema.fields]
+    return df.select(
+        *[
+            (F.col(quote(f.name)) if cell is None else cell).alias(name)
+            for name, f, cell in zip(names, df.schema.fields, cells)
+        ]
+    )
+
+
+def _cell(
+    f: T.StructField, rules: dict[str, str], salt: str, coerce: bool, strict: bool
+) -> Column | None:
+    """The masked form of a column, or None if it never changes."""
+    if f.name in rules:
+        return _by_rule(f.name, f.dataType, rules[f.name], salt, strict)
+    return _by_heuristic(f.name, f.dataType, salt, coerce)
 
 
 def mask_sql(
@@ -202,6 +212,8 @@ def _change(
         hit = differs(name, mask_json_sql(name, salt), "json", _HIDDEN)
         miss = detail(name, "json", fake_sql(name, "json"))
         return F.expr(case([(is_json_sql(name), hit), (f"{name} IS NOT NULL", miss)]))
+    if rule == "prose":
+        return F.expr(differs(name, mask_prose_sql(name, salt), "prose"))
     if rule is not None and custom_strategy(rule) is not None:
         pieces = F.expr(case([(f"{name} IS NOT NULL", detail(name, rule, name))]))
         return pieces.withField("masked", mask_value(f.name, rule))
@@ -214,8 +226,10 @@ def _change(
             v, lambda t: detail(v, P.TYPE_STRATEGY[t], fake_of_type(v, t, salt))
         )
         container = case(
-            [(is_json_sql(v), differs(v, mask_json_sql(v, salt), "json (heuristic)", _HIDDEN))],
-            otherwise=differs(v, mask_pg_array_sql(v, salt), "array (heuristic)"),
+            [
+                (test, differs(v, masked, kind, _HIDDEN if kind.startswith("json") else None))
+                for test, masked, kind in containers(v, salt)
+            ]
         )
         return f"coalesce({single}, {case([(may_hold_pii(v), container)])})"
 
@@ -323,12 +337,40 @@ def masking_counters_wide(log: DataFrame) -> DataFrame:
     )
 
 
-def observed(df: DataFrame, policy: MaskPolicy, name: str, **kw) -> DataFrame:
-    """``mask`` with in-flight totals: rows and non-null ruled cells.
+def observed(
+    df: DataFrame,
+    policy: MaskPolicy,
+    name: str,
+    table: str | None = None,
+    coerce: bool = False,
+    salt: str = "",
+    ignore_table: bool = False,
+    strict_reference: bool = False,
+) -> DataFrame:
+    """``mask`` with in-flight totals: rows, and changed cells of every column that may change.
 
-    The totals arrive as the observation ``name`` when the query finishes, at
-    no extra pass.
+    A cell counts where its text is no longer what it was, by rule or by heuristic.  The
+    totals arrive as the observation ``name`` when the query finishes, at no extra pass.
     """
-    rules = resolve_rules(df.schema, policy, kw.get("table"), kw.get("ignore_table", False))
-    cells = [F.count(F.col(quote(c))).alias(f"masked_{c}") for c in rules]
-    return mask(df.observe(name, F.count(F.lit(1)).alias("rows"), *cells), policy, **kw)
+    names = df.columns
+    if not policy.masking_enabled:
+        return df.observe(name, F.count(F.lit(1)).alias("rows"))
+    rules = resolve_rules(df.schema, policy, table, ignore_table)
+    rules = {f"__m{i}": rules[n] for i, n in enumerate(names) if n in rules}
+    fresh = df.toDF(*[f"__m{i}" for i in range(len(names))])
+    # The originals go along in text form, in columns that are not masked.
+    before = [f"{_text_sql(f.name, f.dataType)} AS __o{i}" for i, f in enumerate(fresh.schema.fields)]
+    fresh = _as_text(fresh.selectExpr("*", *before), rules, coerce)
+    cells = {f.name: _cell(f, rules, salt, coerce, strict_reference) for f in fresh.schema.fields[: len(names)]}
+    changing = [i for i in range(len(names)) if cells[f"__m{i}"] is not None]
+    out = fresh.select(
+        *[(F.col(n) if c is None else c).alias(n) for n, c in cells.items()],
+        *[f"__o{i}" for i in changing],
+    )
+
+    def changed(i: int) -> Column:
+        now = F.expr(_text_sql(f"__m{i}", out.schema[f"__m{i}"].dataType))
+        return F.count_if(~now.eqNullSafe(F.col(f"__o{i}"))).alias(f"masked_{names[i]}")
+
+    watched = out.observe(name, F.count(F.lit(1)).alias("rows"), *[changed(i) for i in changing])
+    return watched.select(*[F.col(f"__m{i}").alias(n) for i, n in enumerate(names)])

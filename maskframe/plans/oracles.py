@@ -644,4 +644,6 @@ def sql() -> dict[str, str]:
         "stream_health": "SELECT event_id, user_id, healthy, consecutive_failures, "
         f"consecutive_successes FROM ({_health(3, 1)})",
     }
-    return out
+    from maskframe.plans import oracles_text
+
+    return out | oracles_text.sql()

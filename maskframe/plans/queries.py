@@ -1012,4 +1012,6 @@ def stream_health(spark, d):
 
 
 def registered() -> dict[str, Query]:
+    from maskframe.plans import queries_text  # noqa: F401  it registers its own
+
     return dict(_registry)

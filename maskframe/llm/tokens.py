@@ -4,7 +4,7 @@ The tokenizer always cuts before a space that a visible character follows, and
 between letters, full stops and line ends, so the pieces between such cuts have
 the same ids alone as in the text.  Each distinct piece of a chunk goes to the
 tokenizers library once; a bounded cache keeps the pieces of earlier chunks.
-Special tokens' strings inside a text are ordinary text.
+A special token's string inside a text is that token, as in a plain call of the library.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from maskframe.llm.words import texts as byte_run
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 8 << 20
 #: Pieces that a process keeps.
-CACHE = 600_000
+CACHE = 150_000
 #: A piece that the tokenizer does not cut any further.
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 _ENCODERS: dict[str, Encoder] = {}
@@ -44,7 +44,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
         self.model = self.tokenizer.model

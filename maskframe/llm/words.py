@@ -35,12 +35,17 @@ _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 def _powers(ratio: int, n: int) -> np.ndarray:
-    """ratio**0, ratio**1, … modulo 2**64, n of them at least."""
+    """ratio**0, ratio**1, … modulo 2**64, n of them at least.
+
+    A process keeps as many as a chunk needs; those of a longer text are made for it alone.
+    """
     known = _POWERS.get(ratio)
     if known is None or len(known) < n:
         known = np.full(max(n, 1 << 16), ratio, dtype=np.uint64)
         known[0] = 1
-        _POWERS[ratio] = known = np.cumprod(known)
+        np.cumprod(known, out=known)
+        if n <= CHUNK_BYTES + 1:
+            _POWERS[ratio] = known
     return known
 
 

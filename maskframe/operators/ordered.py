@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskframe.operators.ranks import placed, ranked
+
+#: Up to so many rows a group Spark limits a ranking before its shuffle.
+LIMITED = 1000
+
 
 def _bucket(ts: str, size: str) -> Column:
     return F.window(F.col(ts), size)["start"]
@@ -50,22 +55,25 @@ def rate_flag(
 ) -> DataFrame:
     """Mark rows beyond the first ``n`` of a key in each period as rejected.
 
-    Periods are aligned to the clock.  The first ``n`` rows are found by a
-    ranking with a limit, of which every task sends at most ``n`` rows per
-    group; the other rows are recognised by their absence, joined on the unique
-    ``id``, so no group is ever brought together whole.
+    Periods are aligned to the clock; ``token_bucket`` has them begin with a row.  The
+    first ``n`` rows are found by a ranking with a limit, of which every task sends
+    at most ``n`` rows per group, or, for limits that Spark does not apply early, by
+    their places in ranges of the order; the other rows are recognised by their
+    absence, joined on the unique ``id``, so no group is ever brought together whole.
     """
-    order = Window.partitionBy("__k", "__p").orderBy("__t", "__id")
-    accepted = (
-        df.select(
-            F.col(key).alias("__k"),
-            _bucket(ts, per).alias("__p"),
-            F.col(ts).alias("__t"),
-            F.col(id).alias("__id"),
-        )
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= n)
-        .select(F.col("__id").alias(id), F.lit(True).alias("__ok"))
+    rows = df.select(
+        F.struct(F.col(key)).alias("__k"),
+        _bucket(ts, per).alias("__p"),
+        F.col(ts).alias("__t"),
+        F.col(id).alias("__id"),
+    )
+    if n <= LIMITED:
+        order = Window.partitionBy("__k", "__p").orderBy("__t", "__id")
+        numbered = rows.withColumn("__rank", F.row_number().over(order))
+    else:
+        numbered = ranked(rows, ["__k", "__p"], ["__t", "__id"], "__rank")
+    accepted = numbered.where(F.col("__rank") <= n).select(
+        F.col("__id").alias(id), F.lit(True).alias("__ok")
     )
     return df.join(accepted, id, "left").select(
         *df.columns, F.col("__ok").isNull().alias("rejected")
@@ -98,24 +106,25 @@ def health_state(
     ts: str = "ts",
     bad: int = 3,
     good: int = 1,
-    block: str = "1 hour",
+    block: str | None = None,
     state: DataFrame | None = None,
 ) -> DataFrame:
     """State after every probe: ``bad`` failures in a row make a key unhealthy,
     ``good`` successes in a row make it healthy, and it starts healthy.
 
-    A key's probes are cut into time blocks.  Streaks inside a block are exact
-    but for the block's first streak, which may go on from earlier blocks; one
-    summary row per block is enough to carry streaks and state over, and is
-    joined back.  ``state`` continues from earlier results: one row per key
+    A key's probes are cut into blocks: ranges of the order by key, time and id, which
+    a burst of one key cannot overfill, or, with ``block``, spans of time.  Streaks
+    inside a block are exact but for the block's first streak, which may go on from
+    earlier blocks; one summary row per block is enough to carry streaks and state
+    over, and is joined back.  ``state`` continues from earlier results: one row per key
     with the three state columns.
     """
     by_time = Window.partitionBy(key, "__block").orderBy(ts, id)
     up = F.col(ok)
     pos = F.row_number().over(by_time)
+    cut = placed(df, [key, ts, id], "__block") if block is None else df.withColumn("__block", _bucket(ts, block))
     rows = (
-        df.withColumn("__block", _bucket(ts, block))
-        .withColumn("__pos", pos.cast("bigint"))
+        cut.withColumn("__pos", pos.cast("bigint"))
         .withColumn("__ok_at", F.last(F.when(up, F.col("__pos")), True).over(by_time))
         .withColumn("__bad_at", F.last(F.when(~up, F.col("__pos")), True).over(by_time))
     )

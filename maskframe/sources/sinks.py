@@ -25,6 +25,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table written under the shared folder and read again.
+
+    For rounds that build on each other: what follows neither computes the table
+    again nor carries its plan, and survives lost executors.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_masked(
     df: DataFrame,
     policy: MaskPolicy,

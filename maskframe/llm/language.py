@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm.sample import per_label
-from maskframe.llm.store import ids_and_texts
+from maskframe.llm.store import ids_and_texts, release_memory
 from maskframe.llm.words import lower, ranges, texts
 
 #: Bytes in a window; shorter ones are filled up with spaces.
@@ -125,13 +125,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on about ``sample`` texts of each language."""
+def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """Fit on about ``sample`` texts of each language; None if there are none to learn from."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null").where(~held_out())
     rows = per_label(known.where(F.length("text") > 0), "lang", sample).select("text", "lang").toPandas().sort_values(["lang", "text"])
     if rows.empty:
-        raise ValueError("texts with a language are needed")
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+        return None
+    net = fit(rows["text"].tolist(), rows["lang"].tolist())
+    release_memory()
+    return net
 
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -166,5 +168,13 @@ def languages(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id``, ``held_out``, ``lang_pred``, ``score`` for every document; repeated rows stay."""
-    return languages(docs, train(docs, sample)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    """``doc_id``, ``held_out``, ``lang_pred``, ``score`` for every document; repeated rows stay.
+
+    Without a text of a known language all are ``und`` with score 0.
+    """
+    net = train(docs, sample)
+    if net is None:
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    else:
+        found = languages(docs, net)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

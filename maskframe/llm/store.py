@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -42,6 +43,14 @@ def by_columns(make: Callable[[pa.RecordBatch], Sequence | None], schema: pa.Sch
     return run
 
 
+def release_memory() -> None:
+    """Give what numpy and Arrow have freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def binary(flat, lengths, wide: int) -> pa.Array:
     """One binary cell for each of ``lengths`` items of ``wide`` bytes from a flat numpy array."""
     import numpy as np

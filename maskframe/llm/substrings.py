@@ -33,6 +33,8 @@ from maskframe.llm.store import ids_and_texts
 from maskframe.llm.words import mix, ranges, white_space, window_hashes, word_hashes
 
 PHRASE = 8
+#: Bytes of text whose equal phrases are combined before they are shuffled.
+CHUNK_BYTES = 2 << 20
 
 CANDIDATES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("windows", pa.binary()), ("first_doc", pa.int64()), ("first_at", pa.int32())])
 _CANDIDATES = "key long, doc_id long, at int, windows binary, first_doc long, first_at int"
@@ -81,7 +83,7 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, hashes, before, _, _ in word_hashes(batch.column(1), white_space()):
+            for at, hashes, before, _, _ in word_hashes(batch.column(1), white_space(), chunk=CHUNK_BYTES):
                 found = _represented(ids[at : at + len(before) - 1], hashes, before, window)
                 if found is None:
                     continue
@@ -249,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = batch.column(0).to_numpy(), batch.column(2)
-            for at, hashes, before, _, (data, starts, ends) in word_hashes(batch.column(1), white_space()):
+            for at, hashes, before, _, (data, starts, ends) in word_hashes(batch.column(1), white_space(), chunk=CHUNK_BYTES):
                 here = ids[at : at + len(before) - 1]
                 gone = locate(here, hashes, before, _runs(found.slice(at, len(here))), window)
                 raw, out = data.tobytes(), []

@@ -2,10 +2,12 @@
 
 A word's vector is the mean of the vectors of its n-grams (hashed into a fixed
 number of rows) and of the whole word; a window's is the mean of its words'.  A
-text is cut into overlapping windows and scores as its worst one, so a few words
-count as much in a long text as in a short one.  Embeddings and softmax are
+text is cut into overlapping windows of two words and scores as its worst one, so a
+word or two count as much in a long text as in a short one.  Embeddings and softmax are
 trained together by gradient descent in numpy on texts with one label each: at
-first on random windows, then on each text's worst ones.
+first on random windows, then on each text's worst ones.  One component of an
+embedding begins with how much likelier its n-gram is in toxic training texts than
+in clean ones, so that few labels are enough.
 
 What a trained model does to a word is one number, the mean of its n-grams'
 numbers, which is all that is shipped and all that scoring computes.
@@ -22,15 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm.sample import per_label
-from maskframe.llm.store import ids_and_texts
+from maskframe.llm.store import ids_and_texts, release_memory, stage
 from maskframe.llm.words import _powers, letters_and_digits, mix, ranges, word_hashes
 
 ROWS, WIDE = 1 << 18, 8
 GRAMS = (3, 4, 5)
 #: Words in a window, and between the starts of two.
-WINDOW, STEP = 8, 4
+WINDOW, STEP = 2, 1
 #: Share of an n-gram's vector that goes in each step that uses it, times the rate.
 DECAY = 0.004
+#: What an n-gram begins with: so much of its log odds, if so many texts have it, each label counted with so many more.
+START, START_TEXTS, START_MORE = 0.7, 3, 1.0
+#: Words whose n-grams are made at a time.
+PART = 20_000
+#: Log odds of every text where nothing was learned.
+NO_LABELS = -4.0
 #: Texts of each label that a model is fitted on, about.
 SAMPLE = 1500
 
@@ -69,7 +77,9 @@ def distinct_words(hashes: np.ndarray, place: tuple) -> tuple[np.ndarray, np.nda
     """For words with their places in a run of bytes: which distinct word each is, and the n-grams of those."""
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     data, starts, ends = place
-    return which, *word_grams(data, starts[first], ends[first])
+    parts = [word_grams(data, starts[first[a : a + PART]], ends[first[a : a + PART]]) for a in range(0, max(len(first), 1), PART)]
+    begins = np.concatenate([np.zeros(1, np.int64), *[np.diff(b) for _, b in parts]]).cumsum()
+    return which, np.concatenate([g for g, _ in parts]), begins
 
 
 def windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +107,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def log_odds(labels: list[int], which: np.ndarray, grams: np.ndarray, begins: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of every n-gram: how much likelier a toxic text has it than a clean one; 0 for rare n-grams."""
+    seen = np.zeros((2, ROWS))
+    for label, a, b in zip(labels, before[:-1].tolist(), before[1:].tolist(), strict=True):
+        if a < b:
+            word = np.unique(which[a:b])
+            seen[label, np.unique(grams[ranges(begins[:-1][word], np.diff(begins)[word])])] += 1
+    texts = np.bincount(np.array(labels, np.int64), minlength=2)
+    odds = [np.log((seen[k] + START_MORE) / (texts[k] + 2 * START_MORE)) for k in (0, 1)]
+    return np.where(seen.sum(axis=0) >= START_TEXTS, odds[1] - odds[0], 0).astype(np.float32)
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.3, seed: int = 1) -> Model:
     """Fit embeddings and softmax on whole texts; the classes weigh as much as each other."""
     rng = np.random.default_rng(seed)
@@ -116,6 +138,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.3
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     embedding = rng.normal(0, 0.1, (ROWS, WIDE)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (WIDE, 2)).astype(np.float32), np.zeros(2, np.float32)
+    embedding[:, 0] = START * log_odds(labels, which, grams, begins, before)
+    softmax[0] = -0.5, 0.5
     sums_e, sums_s = np.full(ROWS, 1e-6, np.float32), np.full((WIDE, 2), 1e-6, np.float32)
     for epoch in range(epochs):
         if epoch < epochs // 3:
@@ -126,11 +150,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.3
             word = np.add.reduceat(row[grams], begins[:-1]) / np.diff(begins)
             total = np.concatenate(([0.0], np.cumsum(word[which])))
             logit = (total[start + size] - total[start]) / size
-            order = np.lexsort((-logit, np.repeat(np.arange(len(at) - 1), np.diff(at))))
+            worst = np.flatnonzero(logit == np.repeat(np.maximum.reduceat(logit, at[some]), np.diff(at)[some]))
+            worst = worst[np.searchsorted(worst, at[some])]
             # Of clean texts any window is clean: two more of each, at random.
             clean = np.flatnonzero(label == 0)
             more = [at[some][clean] + (rng.random(len(clean)) * np.diff(at)[some][clean]).astype(np.int64) for _ in range(2)]
-            chosen, text = np.concatenate([order[at[some]], *more]), np.concatenate([np.arange(len(some)), clean, clean])
+            chosen, text = np.concatenate([worst, *more]), np.concatenate([np.arange(len(some)), clean, clean])
         for batch in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 256)):
             w, y, importance = chosen[batch], label[text[batch]], weight[text[batch]]
             word = which[ranges(start[w], size[w])]
@@ -163,15 +188,20 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` texts of each label; a text with several labels counts as toxic if one says so."""
+    """Fit on about ``sample`` texts of each label; a text with several labels counts as toxic if one says so.
+
+    Without texts of both labels nothing can be learned: every text scores as hardly toxic.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out())
     taken = per_label(known, "toxic", sample)
     rows = ids_and_texts(docs).join(F.broadcast(taken), "doc_id").select("text", "toxic").toArrow()
     order = np.lexsort((np.array(rows["text"].to_pylist(), object), rows["toxic"].to_numpy())) if len(rows) else []
     texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_pylist()
     if len(set(toxic)) < 2:
-        raise ValueError("labels of both kinds are needed")
-    return fit([texts[i] for i in order], [int(toxic[i]) for i in order])
+        return Model(np.zeros(ROWS, np.float32), NO_LABELS)
+    model = fit([texts[i] for i in order], [int(toxic[i]) for i in order])
+    release_memory()
+    return model
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -198,7 +228,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """The documents whose score is below the threshold, with all their columns; rows with a null ``doc_id`` stay."""
-    from maskframe.llm.store import stage
-
     toxic = stage(classify(docs, labels, threshold, sample).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
     return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 _RATIO = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes hashed at a time, apart from single texts that are longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +44,7 @@ def _powers(ratio: int, n: int) -> np.ndarray:
         known = np.full(max(n, 1 << 16), ratio, dtype=np.uint64)
         known[0] = 1
         np.cumprod(known, out=known)
-        if n <= CHUNK_BYTES + 1:
+        if n <= 4 * CHUNK_BYTES + 1:
             _POWERS[ratio] = known
     return known
 
@@ -117,7 +117,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(column, classes: np.ndarray, fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def word_hashes(column, classes: np.ndarray, fold: bool = False, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The texts of a column in chunks of bounded bytes.
 
     Yields for each chunk: index of its first text, hash of every word, number of
@@ -129,7 +129,7 @@ def word_hashes(column, classes: np.ndarray, fold: bool = False) -> Iterator[tup
         data = lower(data)
     at = 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, side="right")) - 1)
         part, bounds = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         starts, ends, before = find_words(part, bounds, classes)
         hashes = run_hashes(_BYTE_VALUES[part], starts, ends, 0xDA942042E4DD58B5) if len(starts) else np.zeros(0, np.uint64)

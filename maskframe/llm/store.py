@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,28 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     the table twice, and sees its real size.
     """
     path = work_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts go to Python in batches of a few megabytes, unless the session says otherwise.
+
+    Spark's own 64 MB are held several times over, by each task and by its worker.
+    """
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key) != usual:
+        yield
+        return
+    spark.conf.set(key, "4m")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

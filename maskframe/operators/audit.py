@@ -177,6 +177,20 @@ def activity(
     return both.orderBy(F.desc(ts), F.desc(tie), "event_type").limit(n)
 
 
+def cube(audit: DataFrame) -> DataFrame:
+    """Rows per event type and outcome, per type, per outcome and in all.
+
+    ``level`` says which: 0 for type and outcome, 1 for a type, 2 for an outcome, 3 for
+    the total; what a subtotal runs over is null.  One pass; the four sets of groups are
+    combined in every map task.
+    """
+    t, o = F.col("event_type"), F.col("outcome")
+    grouped = audit.groupingSets([[t, o], [t], [o], []], t, o)
+    return grouped.agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n")
+    ).select("level", "event_type", "outcome", "n")
+
+
 def rollup(audit: DataFrame) -> DataFrame:
     """Rows per event type, by outcome and in total."""
     return audit.groupBy("event_type").agg(

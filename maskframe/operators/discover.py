@@ -10,13 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskframe.functions import patterns as P
 from maskframe.functions.detect import is_scannable, name_pii_type, pii_type_sql
 from maskframe.functions.partial import mask_sample
 from maskframe.functions.sqltext import lit, quote
+from maskframe.operators.ordered import LIMITED
+from maskframe.operators.ranks import ranked
 from maskframe.sources.tables import sample_fraction, sample_rows, visible
 
 
@@ -24,7 +27,8 @@ from maskframe.sources.tables import sample_fraction, sample_rows, visible
 class ScanConfig:
     """What to read and what to report; whole tables unless a sample is asked for.
 
-    ``sample_size`` is a number of rows per table, ``fraction`` a share of each.  ``order_by`` names, per
+    ``sample_size`` is a number of rows per table, ``fraction`` a share of each, ``bottom_k`` a
+    number of rows that are the same however a table is partitioned.  ``order_by`` names, per
     table, the column that says which row is the first; without it the sample
     shown is the smallest matching value.
     """
@@ -35,6 +39,7 @@ class ScanConfig:
     fraction: float | None = None
     order_by: dict[str, str] = field(default_factory=dict)
     hide_system: bool = False
+    bottom_k: int | None = None
 
 
 def _count_name(t: str) -> str:
@@ -59,14 +64,55 @@ def _typed_cells(df: DataFrame, fields: list, first: int, order: str | None) ->
         f"named_struct('k', {first + i}, 'v', CAST({quote(f.name)} AS STRING){place})"
         for i, f in enumerate(fields)
     )
-    kept = ["k", "v", *(["o"] if order else [])]
-    return (
-        df.selectExpr(f"inline(array({cells}))")
-        .selectExpr(*kept, f"trim(BOTH {lit(P.WS_CHARS)} FROM v) AS w")
-        .selectExpr(*kept, f"{pii_type_sql('w')} AS t", "1 AS n", *_NO_NAMES)
+    return _classified(df.selectExpr(f"inline(array({cells}))"), ["k", "v", *(["o"] if order else [])])
+
+
+def _classified(cells: DataFrame, kept: list[str]) -> DataFrame:
+    return cells.selectExpr(*kept, f"trim(BOTH {lit(P.WS_CHARS)} FROM v) AS w").selectExpr(
+        *kept, f"{pii_type_sql('w')} AS t", "1 AS n", *_NO_NAMES
     )
 
 
+def bottom_k(tables: list[tuple[int, DataFrame, list]], n: int) -> DataFrame:
+    """``first``, ``cells``: the ``n`` rows of each table whose hashes over all columns are the smallest.
+
+    ``tables`` are (number of the first column, rows, fields whose text is wanted).  The
+    sample depends on a table's rows alone, not on their order or partitions; of equal
+    rows any is as good as another.  All tables go through one exchange: every task sends
+    its own smallest rows of each table, if Spark can limit the ranking before it
+    (up to 1,000 rows), and else the rows meet by places in ranges of the hashes.
+    """
+
+    def hashed(c: T.StructField) -> Column:
+        v = F.col(quote(c.name))
+        nested = isinstance(c.dataType, (T.MapType, T.VariantType)) or "map<" in c.dataType.simpleString()
+        return F.to_json(v) if nested else v
+
+    parts = []
+    for first, df, fields in tables:
+        every = [hashed(c) for c in df.schema.fields]
+        parts.append(
+            df.select(
+                F.lit(first).alias("first"),
+                F.xxhash64(*every).alias("h"),
+                F.xxhash64(F.lit(1), *every).alias("i"),
+                F.array(*[F.col(quote(f.name)).cast("string") for f in fields]).alias("cells"),
+            )
+        )
+    rows = reduce(DataFrame.unionByName, parts)
+    if n <= LIMITED:
+        rank = F.row_number().over(Window.partitionBy("first").orderBy("h", "i"))
+        ranks = rows.withColumn("rank", rank)
+    else:
+        ranks = ranked(rows, ["first"], ["h", "i"])
+    return ranks.where(F.col("rank") <= n).select("first", "cells")
+
+
+def _drawn_cells(rows: DataFrame) -> DataFrame:
+    found = rows.select("first", F.posexplode("cells").alias("at", "v"))
+    return found.select((F.col("first") + F.col("at")).alias("k"), "v")
+
+
 def _counted(cells: DataFrame, ordered: bool) -> DataFrame:
     """Counts per column; every task sends one row for each of its columns."""
     hit = "CASE WHEN t IS NOT NULL THEN {} END"
@@ -102,11 +148,15 @@ def profile(tables: dict[str, DataFrame], cfg: ScanConfig = ScanConfig()) -> Dat
     Nulls and blanks count as rows.  All tables go through one exchange (one for
     each type of ``order_by`` columns).
     """
-    columns, cells = [], {}
+    columns, cells, drawn = [], {}, []
     for name, df in visible(tables, cfg.exclude_tables, cfg.hide_system).items():
         fields = [f for f in df.schema.fields if is_scannable(f.dataType)]
         if not fields:
             continue
+        if cfg.bottom_k is not None:
+            drawn.append((len(columns), df, fields))
+            columns += [(name, f.name, f.dataType.simpleString(), None) for f in fields]
+            continue
         order = cfg.order_by.get(name)
         used = [quote(f.name) for f in fields]
         if order and order not in [f.name for f in fields]:
@@ -122,6 +172,8 @@ def profile(tables: dict[str, DataFrame], cfg: ScanConfig = ScanConfig()) -> Dat
         columns += [(name, f.name, f.dataType.simpleString(), kind) for f in fields]
     if not columns:
         raise ValueError("no text column to scan")
+    if drawn:
+        cells[None] = [_classified(_drawn_cells(bottom_k(drawn, cfg.bottom_k)), ["k", "v"])]
     spark = next(iter(tables.values())).sparkSession
     numbered = spark.createDataFrame(
         [(k, *c) for k, c in enumerate(columns)],

@@ -103,6 +103,8 @@ _UNITS = {
 }
 # Steps in a block of the running sum.
 _BLOCK = 1000
+#: A grid of more steps is refused unless its ends are given: one wrong time makes it endless.
+MOST_STEPS = 50_000_000
 
 
 def step_micros(every: str) -> int:
@@ -125,10 +127,30 @@ class _Steps:
         self.size = step_micros(every)
         self.plain = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
 
-    def number(self, t: str) -> Column:
+    def number_text(self, t: str) -> str:
         origin = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})"
-        micros = (origin if self.plain else "unix_micros({0})").format(f"`{t}`")
-        return F.expr(f"({micros} - pmod({micros}, {self.size})) div {self.size}")
+        micros = (origin if self.plain else "unix_micros({0})").format(t)
+        return f"({micros} - pmod({micros}, {self.size})) div {self.size}"
+
+    def number(self, t: str) -> Column:
+        return F.expr(self.number_text(f"`{t}`"))
+
+    def span(self, df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
+        """One row: the first and the last step of a grid."""
+
+        def edge(found: Column, given) -> Column:
+            if given is None:
+                return found
+            kind = "timestamp_ntz" if self.plain else "timestamp"
+            return F.expr(str(self.number_text(f"CAST('{given}' AS {kind})")))
+
+        first, last = edge(F.min(self.number(ts)), start), edge(F.max(self.number(ts)), end)
+        span = df.agg(first.alias("first"), last.alias("last"))
+        if start is not None and end is not None:
+            return span
+        wide = F.col("last") - F.col("first") >= MOST_STEPS
+        said = F.concat(F.lit("a grid of "), F.col("last") - F.col("first") + 1, F.lit(" steps: give its start and end"))
+        return span.withColumn("last", F.when(wide, F.raise_error(said).cast("long")).otherwise(F.col("last")))
 
     def end(self, step: str) -> Column:
         """The time at which a step ends."""
@@ -141,7 +163,12 @@ class _Steps:
 
 
 def cumulative(
-    df: DataFrame, measures: list[str], ts: str = "ts", every: str = "5 seconds"
+    df: DataFrame,
+    measures: list[str],
+    ts: str = "ts",
+    every: str = "5 seconds",
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """Running totals at every step of a regular grid, idle steps included.
 
@@ -149,12 +176,18 @@ def cumulative(
     length are counted from 1970.  Rows are summed per step first, so a step that
     holds a third of all rows is one row.  The running sum then has two levels:
     inside a block of steps, and over the totals of the blocks.
+
+    The grid goes from the step of ``start`` to that of ``end``; without them, from the
+    first to the last change, and one of more than MOST_STEPS is an error.  Changes
+    before the grid count at its first point, changes behind it do not.
     """
     by = _Steps(df, ts, every)
     sums = [F.sum(m).alias(m) for m in measures]
+    span = by.span(df, ts, start, end)
     steps = df.groupBy(by.number(ts).alias("step")).agg(*sums)
+    if start is not None:
+        steps = steps.groupBy(F.greatest("step", span.select("first").scalar()).alias("step")).agg(*sums)
     # The span is a pass of its own that reads nothing but the time column.
-    span = df.agg(F.min(by.number(ts)).alias("first"), F.max(by.number(ts)).alias("last"))
     blocks = span.where("first is not null").select(
         "first", "last", F.explode(F.expr(f"sequence(first div {_BLOCK} - 1, last div {_BLOCK} + 1)")).alias("block")
     )
@@ -186,14 +219,21 @@ def cumulative(
     )
 
 
-def history(changes: DataFrame, every: str = "5 seconds", keep: int | None = 60) -> DataFrame:
+def history(
+    changes: DataFrame,
+    every: str = "5 seconds",
+    keep: int | None = 60,
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
     """Points of active sessions and total queries and masked fields.
 
-    The newest ``keep`` points, newest first; all points for None.
+    The newest ``keep`` points, newest first; all points, from ``start`` to ``end`` if
+    given, for None.
     """
     measures = ["active", "queries", "masked"]
     points = (
-        cumulative(changes, measures, every=every)
+        cumulative(changes, measures, every=every, start=start, end=end)
         if keep is None
         else _newest(changes, measures, every, keep)
     )
@@ -235,8 +275,19 @@ def for_chart(points: DataFrame) -> DataFrame:
     return points.orderBy("ts")
 
 
-def active(df: DataFrame, start: str, end: str, every: str = "5 seconds") -> DataFrame:
-    """Open and opened sessions at every step; an open session has a null end."""
+def active(
+    df: DataFrame,
+    start: str,
+    end: str,
+    every: str = "5 seconds",
+    first: str | None = None,
+    last: str | None = None,
+) -> DataFrame:
+    """Open and opened sessions at every step; an open session has a null end.
+
+    ``start`` and ``end`` are columns; ``first`` and ``last`` are the ends of the grid, as for
+    ``cumulative``.
+    """
     ends = F.inline(
         F.array(
             F.struct(F.col(start).alias("ts"), F.lit(1).alias("a"), F.lit(1).alias("t")),
@@ -252,7 +303,7 @@ def active(df: DataFrame, start: str, end: str, every: str = "5 seconds") -> Dat
             F.col("t").cast("bigint").alias("total_connections"),
         )
     )
-    return cumulative(changes, ["active_connections", "total_connections"], every=every)
+    return cumulative(changes, ["active_connections", "total_connections"], every=every, start=first, end=last)
 
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -279,6 +330,46 @@ def latency(df: DataFrame, by: str, value: str) -> DataFrame:
     )
 
 
+def latency_sketches(
+    df: DataFrame, by: str, value: str, ts: str = "ts", every: str = "1 minute", k: int = 400
+) -> DataFrame:
+    """A quantile sketch (KLL, about ``k`` values a level) of every key and step that has values.
+
+    The sketches are what is stored; a row's value is never needed again.  They are made
+    in every map task and merged, so a hot key is no hot task.
+    """
+    steps = _Steps(df, ts, every)
+    values = df.select(F.col(by).alias(by), steps.number(ts).alias("step"), F.col(value).cast("double").alias("v"))
+    made = values.where("v is not null").groupBy(by, "step").agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("v", F.lit(k)).alias("sketch")
+    )
+    return made.select(by, steps.end("step").alias("ts"), "n", "sketch")
+
+
+def merge_latency(
+    sketches: DataFrame,
+    by: str,
+    quantiles: tuple[float, ...] = (0.5, 0.95, 0.99),
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
+    """Quantiles per key over any span of stored sketches; reads nothing but the sketches.
+
+    ``start`` (exclusive) and ``end`` (inclusive) are compared with the ends of the steps.
+    """
+    if start is not None:
+        sketches = sketches.where(F.col("ts") > F.lit(start).cast(sketches.schema["ts"].dataType))
+    if end is not None:
+        sketches = sketches.where(F.col("ts") <= F.lit(end).cast(sketches.schema["ts"].dataType))
+    merged = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("s"))
+    names = [f"p{100 * q:g}".replace(".", "_") for q in quantiles]
+    return merged.select(
+        by,
+        "n",
+        *[F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(a) for q, a in zip(quantiles, names)],
+    )
+
+
 def labelled(df: DataFrame, *by: str) -> DataFrame:
     """Rows per label."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

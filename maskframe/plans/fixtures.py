@@ -109,6 +109,15 @@ SELECT c_custkey, concat('user', c_custkey, '@example.com') AS secret,
 FROM customer
 """
 
+# Orders as JSON documents: lists of objects and of values, odd names, empty containers, text that is no JSON.
+JSON_ORDERS = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '{not json' ELSE concat(
+    '{"buyer": {"mail": "user', o_custkey, '@example.com", "tries": [', o_orderkey % 7, ', null, true]}, ',
+    '"items": [{"ip": "10.0.', o_custkey % 200, '.1", "no tes": "none"}, {"ip": "unknown"}], ',
+    '"seen": ["AB', lpad(CAST(o_custkey % 10000000 AS VARCHAR(20)), 7, '0'), '", "x"], "empty": [], "none": {}}') END AS doc
+FROM orders
+"""
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",

@@ -644,6 +644,6 @@ def sql() -> dict[str, str]:
         "stream_health": "SELECT event_id, user_id, healthy, consecutive_failures, "
         f"consecutive_successes FROM ({_health(3, 1)})",
     }
-    from maskframe.plans import oracles_text
+    from maskframe.plans import oracles_text, oracles_time
 
-    return out | oracles_text.sql()
+    return out | oracles_text.sql() | oracles_time.sql()

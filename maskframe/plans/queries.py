@@ -1012,6 +1012,6 @@ def stream_health(spark, d):
 
 
 def registered() -> dict[str, Query]:
-    from maskframe.plans import queries_text  # noqa: F401  it registers its own
+    from maskframe.plans import queries_text, queries_time  # noqa: F401  they register their own
 
     return dict(_registry)

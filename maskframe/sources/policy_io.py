@@ -8,7 +8,10 @@ the cluster knows.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -53,7 +56,10 @@ def _write(text: str, path: str, spark: SparkSession | None) -> None:
 
 def _parse(text: str):
     if yaml is None:
-        return json.loads(text)
+        try:
+            return json.loads(text)
+        except ValueError as e:
+            raise ValueError(f"not a JSON policy, and YAML needs the yaml package: {e}") from e
     try:
         return yaml.safe_load(text)
     except yaml.YAMLError as e:
@@ -74,12 +80,38 @@ def save_policy(policy: MaskPolicy, path: str, spark: SparkSession | None = None
     )
 
 
-def reload(policy: MaskPolicy, path: str, spark: SparkSession | None = None) -> MaskPolicy:
-    """The policy in the file, or the one in force if the file is not usable."""
+#: What an unusable file leads to: it is not there, cannot be read, or is not a policy.
+UNUSABLE = (OSError, ValueError, TypeError, KeyError, AttributeError, PySparkException, Py4JJavaError)
+
+
+def reload(
+    policy: MaskPolicy,
+    path: str,
+    spark: SparkSession | None = None,
+    on_result: Callable[[MaskPolicy, Exception | None], None] | None = None,
+) -> MaskPolicy:
+    """The policy in the file, or the one in force if the file is not usable.
+
+    ``on_result`` is told of every reload: the policy that is in force from now on, and
+    the error that kept the old one.
+    """
     try:
-        return load_policy(path, spark)
-    except Exception:  # noqa: BLE001  any unreadable file leaves the old policy
-        return policy
+        found, error = load_policy(path, spark), None
+    except UNUSABLE as e:
+        found, error = policy, e
+    if on_result is not None:
+        on_result(found, error)
+    return found
+
+
+def reload_audit(spark: SparkSession, before: MaskPolicy, now: MaskPolicy, error: Exception | None) -> DataFrame | None:
+    """The audit row of a reload: refused, or changed; None if the file says what it said before."""
+    from maskframe.operators.audit import audit_row, config_reload
+
+    if error is not None:
+        said = str(error).strip().splitlines()[0][:500] if str(error).strip() else type(error).__name__
+        return audit_row(spark, "config_reload", "failure", details={"rules_count": len(now.rules)}, error=said)
+    return config_reload(spark, len(now.rules)) if now != before else None
 
 
 def export_rules(

@@ -51,6 +51,14 @@ def write_masked(
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+#: How audit rows are written as JSON: without null fields, times to the microsecond.
+AUDIT_JSON = {
+    "ignoreNullFields": "true",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
+
+
 def write_audit(audit: DataFrame, path: str, by_day: bool = False) -> None:
     """Append one JSON object per line; null fields are left out.
 
@@ -59,5 +67,5 @@ def write_audit(audit: DataFrame, path: str, by_day: bool = False) -> None:
     """
     if by_day:
         audit = audit.withColumn("day", F.to_date("timestamp"))
-    writer = audit.write.mode("append").option("ignoreNullFields", "true")
+    writer = audit.write.mode("append").options(**AUDIT_JSON)
     (writer.partitionBy("day") if by_day else writer).json(path)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from maskframe.operators.mask import change_log, mask
 from maskframe.operators.ordered import health_report, health_state
 from maskframe.policy import MaskPolicy
-from maskframe.sources.policy_io import load_policy, reload
+from maskframe.sources.policy_io import load_policy, reload, reload_audit
 
 mask_stream = mask
 
@@ -122,6 +122,32 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, fmt: str) -> None:
     df.write.format(fmt).mode("overwrite").save(f"{path}/batch={batch_id:012d}")
 
 
+def _marker(spark: SparkSession, out: str, batch_id: int):
+    """The file whose presence says that a batch is whole, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/_committed/batch={batch_id:012d}")
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def committed(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches of ``run_masked`` all of whose outputs are there."""
+    path, fs = _marker(spark, out, 0)
+    folder = path.getParent()
+    if not fs.exists(folder):
+        return []
+    return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(folder))
+
+
+def read_committed(spark: SparkSession, out: str, other: str | None = None, fmt: str = "parquet") -> DataFrame | None:
+    """The rows of whole batches; with ``other``, those of that output (the change log).  None if there are none.
+
+    A batch counts once the marker beside its rows is there, which is made after the
+    rows and the log: both are seen, or neither.
+    """
+    root = (other or out).rstrip("/")
+    paths = [f"{root}/batch={b:012d}" for b in committed(spark, out)]
+    return spark.read.option("basePath", root).format(fmt).load(paths).drop("batch") if paths else None
+
+
 def run_masked(
     sdf: DataFrame,
     policy_path: str,
@@ -133,21 +159,33 @@ def run_masked(
     keys: tuple[str, ...] = (),
     trigger: dict | None = None,
     on_batch: Callable[[int, MaskPolicy], None] | None = None,
+    audit_out: str | None = None,
     **kw,
 ) -> StreamingQuery:
     """Write a stream's masked rows and, if asked, its change log.
 
     The policy file is read again for every micro-batch: a change takes effect
     at a batch edge, and an unusable file leaves the policy in force.  The
-    first read must succeed.
+    first read must succeed.  With ``audit_out`` every change and every refusal leaves an
+    audit row there, under the number of its batch.
+
+    Rows and log are one commit: a marker is made when both are written, and
+    ``read_committed`` sees whole batches only.  A batch that fails in between is
+    written again; one that is whole is not.
     """
     spark = sdf.sparkSession
     current = {"policy": load_policy(policy_path, spark)}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        policy = current["policy"] = reload(current["policy"], policy_path, spark)
+        before, told = current["policy"], []
+        policy = current["policy"] = reload(before, policy_path, spark, lambda now, e: told.append((now, e)))
+        if audit_out is not None and (row := reload_audit(spark, before, *told[0])) is not None:
+            _write_batch(row, audit_out, batch_id, "json")
         if on_batch is not None:
             on_batch(batch_id, policy)
+        marker, fs = _marker(spark, out, batch_id)
+        if fs.exists(marker):
+            return  # whole, but Spark was stopped before it knew
         if log_out is not None:
             batch.persist()
         try:
@@ -157,6 +195,7 @@ def run_masked(
                 _write_batch(log, log_out, batch_id, fmt)
         finally:
             batch.unpersist()
+        fs.create(marker, True).close()
 
     return (
         sdf.writeStream.foreachBatch(write)

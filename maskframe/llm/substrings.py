@@ -5,8 +5,11 @@
    for each such phrase carries the hashes of the windows it stands for; rows meet
    by phrase, and the windows that occur more than once are confirmed with the
    place where each starts first.  Rows that agree in everything are combined
-   before they are shuffled, so a phrase that a third of all documents share is
-   one row for each batch.
+   before they are shuffled, chunk by chunk.  A phrase that very many documents
+   share stands in different windows in each of them, where its surroundings
+   differ; the commonest phrases, found in a sample of the documents, therefore send
+   a row for each window, which meet by window.  So what meets under one key is
+   either few rows, or windows equal in all chunks, one row for each chunk.
 2. *Compile.*  Consecutive confirmed windows that first occur consecutively in one
    document form a passage.  The passages of each chunk of documents become an
    Aho-Corasick automaton.
@@ -36,6 +39,11 @@ PHRASE = 8
 #: Bytes of text whose equal phrases are combined before they are shuffled.
 CHUNK_BYTES = 2 << 20
 
+#: A phrase is common if so many documents of a sample, one in SAMPLED, have it; and how many of them, the commonest, are told to all tasks.
+COMMON, SAMPLED, MOST_COMMON = 8, 64, 100_000
+#: Rows that are confirmed at a time, apart from those of one key.
+HELD_ROWS = 50_000
+
 CANDIDATES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("windows", pa.binary()), ("first_doc", pa.int64()), ("first_at", pa.int32())])
 _CANDIDATES = "key long, doc_id long, at int, windows binary, first_doc long, first_at int"
 
@@ -73,8 +81,32 @@ def _represented(docs: np.ndarray, hashes: np.ndarray, before: np.ndarray, windo
     return phrases[where[run]], docs[text[run]], at[run], np.diff(run, append=len(found)), found
 
 
-def candidates(docs: DataFrame, window: int) -> DataFrame:
-    """A row for each representative phrase.
+def _by_window(found: tuple, common: np.ndarray) -> tuple:
+    """Runs of windows whose phrase is common become runs of one window, with the window as their key."""
+    key, doc, start, n, all_windows = found
+    hot = np.isin(key, common)
+    if not hot.any():
+        return found
+    parts = np.where(hot, n, 1)
+    run, step = np.repeat(np.arange(len(n)), parts), ranges(np.zeros(len(n), np.int64), parts)
+    at = (np.cumsum(n) - n)[run] + step
+    own = mix(all_windows[np.minimum(at, len(all_windows) - 1)] ^ np.uint64(0x6A09E667F3BCC909))
+    return np.where(hot[run], own, key[run]), doc[run], start[run] + step, np.where(hot[run], 1, n[run]), all_windows
+
+
+def common_phrases(docs: DataFrame, window: int) -> np.ndarray:
+    """The representative phrases that most documents share, sorted; at most ``MOST_COMMON``, from a sample of the documents.
+
+    Which they are bears on how rows meet, not on what is found.
+    """
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SAMPLED)) == 0)
+    often = candidates(sample, window, combined=False).groupBy("key").count().where(F.col("count") >= COMMON)
+    found = often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow()["key"]
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def candidates(docs: DataFrame, window: int, common: np.ndarray | None = None, combined: bool = True) -> DataFrame:
+    """A row for each representative phrase, or window of a ``common`` one.
 
     Rows that are already known to repeat others say so in ``first_doc`` and
     ``first_at`` and have the number of their windows as ``key``.
@@ -87,7 +119,12 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
                 found = _represented(ids[at : at + len(before) - 1], hashes, before, window)
                 if found is None:
                     continue
-                key, doc, start, n, all_windows = found
+                if not combined:
+                    key = found[0].view(np.int64)
+                    none = pa.nulls(len(key), pa.int64())
+                    yield pa.record_batch([pa.array(key), pa.array(found[1]), pa.array(found[2].astype(np.int32)), pa.nulls(len(key), pa.binary()), none, pa.nulls(len(key), pa.int32())], schema=CANDIDATES)
+                    continue
+                key, doc, start, n, all_windows = found if common is None else _by_window(found, common)
                 # Equal rows of a chunk: the first stays, for the others it is known that they are repeats.
                 whole = np.add.reduceat(mix(all_windows + ranges(np.zeros(len(n), np.int64), n).astype(np.uint64)), np.cumsum(n) - n) ^ mix(key + n.astype(np.uint64))
                 order = np.lexsort((start, doc, whole))
@@ -112,26 +149,46 @@ REPEATS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32(
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows that start earlier elsewhere, with that place; all rows of a key are in one task."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    """Runs of windows that start earlier elsewhere, with that place; rows come sorted by key, and some keys are held at a time."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        known = t["first_doc"].is_valid()
+        if pc.any(known).as_py():
+            first = t.filter(known)
+            yield pa.record_batch([first["doc_id"].combine_chunks(), first["at"].combine_chunks(), first["key"].cast(pa.int32()).combine_chunks(), first["first_doc"].combine_chunks(), first["first_at"].combine_chunks()], schema=REPEATS)
+            t = t.filter(pc.invert(known))
+        if not len(t):
+            continue
+        # All but the last key of what has come are whole.
+        key = t["key"].to_numpy()
+        whole = int(np.searchsorted(key, key[-1]))
+        if held and whole == 0 and held[-1]["key"][-1].as_py() != key[0]:
+            yield from _repeats_of(held)
+            held = []
+        held.append(t)
+        if whole and sum(map(len, held)) >= HELD_ROWS:
+            yield from _repeats_of([*held[:-1], t.slice(0, whole)])
+            held = [t.slice(whole)]
+    yield from _repeats_of(held)
+
+
+def _repeats_of(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The repeats among rows that have all rows of their keys."""
+    if not tables:
         return
-    t = pa.Table.from_batches(held).combine_chunks()
-    known = t["first_doc"].is_valid().to_numpy()
+    t = pa.concat_tables(tables).combine_chunks()
     key, doc, at = t["key"].to_numpy(), t["doc_id"].to_numpy(), t["at"].to_numpy()
-    if known.any():
-        yield pa.record_batch([pa.array(doc[known]), pa.array(at[known]), pa.array(key[known].astype(np.int32)), t["first_doc"].combine_chunks().filter(pa.array(known)), t["first_at"].combine_chunks().filter(pa.array(known))], schema=REPEATS)
     column = t["windows"].combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     # Only keys with more than one row.
-    mine = np.flatnonzero(~known)
-    mine = mine[np.argsort(key[mine], kind="stable")]
-    k = key[mine]
-    twin = np.zeros(len(k), dtype=bool)
-    twin[1:] = k[1:] == k[:-1]
+    twin = np.zeros(len(key), dtype=bool)
+    twin[1:] = key[1:] == key[:-1]
     twin[:-1] |= twin[1:]
-    mine = mine[twin]
+    mine = np.flatnonzero(twin)
     if not len(mine):
         return
     n = (offsets[mine + 1] - offsets[mine]) // 5
@@ -163,9 +220,10 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     The first place of a row that was combined before the shuffle is an earlier
     one, but not always the earliest.
     """
-    rows = candidates(docs, window)
+    rows = candidates(docs, window, common_phrases(docs, window))
     dealt = F.when(F.col("first_doc").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "at"))
-    return rows.withColumn("dealt", dealt).repartition("dealt").select(*CANDIDATES.names).mapInArrow(_confirmed, "doc_id long, at int, n int, first_doc long, first_at int")
+    dealt_rows = rows.withColumn("dealt", dealt).repartition("dealt").sortWithinPartitions("key")
+    return dealt_rows.select(*CANDIDATES.names).mapInArrow(_confirmed, "doc_id long, at int, n int, first_doc long, first_at int")
 
 
 def _letters(codes: np.ndarray) -> str:

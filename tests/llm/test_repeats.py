@@ -101,6 +101,31 @@ def as_classes(df):
     return {r.doc_id: (r.class_id, r.copy_of, r.n_links) for r in df.collect()}
 
 
+def test_repeated_passages_of_common_phrases(make, monkeypatch):
+    """Phrases of any frequency met by window, and groups confirmed a few rows at a time."""
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    monkeypatch.setattr(substrings, "COMMON", 3)
+    monkeypatch.setattr(substrings, "HELD_ROWS", 7)
+    rnd = random.Random(5)
+    shared = [" ".join(f"s{k}w{j}" for j in range(rnd.randint(15, 40))) for k in range(6)]
+    docs = [(i, " ".join([*(f"o{i}x{j}" for j in range(rnd.randint(0, 9))), rnd.choice(shared), *(f"p{i % 7}x{j}" for j in range(rnd.randint(0, 30))), rnd.choice(shared)])) for i in range(200)]
+    docs += [(900, "the " * 120), (901, "a b " * 60)]
+    assert len(substrings.common_phrases(make(docs), 20)) > 20
+    assert as_repeats(substrings.remove_repeats(make(docs).repartition(5))) == without_repeats(docs)
+
+
+def test_a_line_in_very_many_documents_is_no_hot_key(spark):
+    """20,000 documents share a line of 24 words in surroundings of their own."""
+    line = " ".join(f"line{j}" for j in range(24))
+    words_of = "concat_ws(' ', transform(sequence(1, {n}), j -> concat('{c}', id, 'x', j)))"
+    docs = spark.range(0, 20_000, 1, 8).selectExpr("id AS doc_id", f"concat({words_of.format(n=12, c='a')}, ' {line} ', {words_of.format(n=12, c='b')}) AS text")
+    common = substrings.common_phrases(docs, 20)
+    rows = substrings.candidates(docs, 20, common).where("first_doc IS NULL").groupBy("key").count()
+    assert len(common) >= 1 and rows.agg(F.max("count")).first()[0] < 300
+    removed = substrings.remove_repeats(docs, with_text=False).groupBy("n_removed").count().collect()
+    assert {(r.n_removed, r["count"]) for r in removed} == {(24, 19_999), (0, 1)}
+
+
 def test_near_copies_query(spark, sf, documents):
     assert as_classes(op5_ngram_join(spark, sf)) == classes([(d.doc_id, d.text) for d in documents])
 

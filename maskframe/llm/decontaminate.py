@@ -10,8 +10,10 @@ cannot; only what is left is scored.  All items at or above the threshold are
 retrieved, and an item counts as leaked where its question and its answer are
 both found again in the passage.
 
-The index is made on the driver from a bounded number of items and words and
-goes to every task; a larger benchmark is taken in several such shards.
+How often words occur, and how long entries are, is counted over all items with
+Spark.  An index is made on the driver from a bounded number of items and words and
+goes to every task; a larger benchmark is taken in several such shards, one after the
+other, with the same statistics, so scores do not depend on its size or its cut.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.store import ids_and_texts
+from maskframe.llm.store import ids_and_texts, stage
 from maskframe.llm.words import letters_and_digits, ranges, window_hashes, word_hashes
 
 #: Items and characters of items in one index.
@@ -36,19 +38,33 @@ GRAM = 3
 K1, B = 1.2, 0.75
 
 
+def item_words(column: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    return [h for _, hashes, before, _, _ in word_hashes(column, letters_and_digits(), fold=True) for h in np.split(hashes, before[1:-1])]
+
+
+def entries(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words and their counts in each entry of an item."""
+    return [np.unique(words[a : a + ENTRY], return_counts=True) for a in range(0, len(words), ENTRY)]
+
+
 class Index:
-    """An index of (item, text); fields are plain arrays, so it can be shipped to tasks."""
+    """An index of (item, text); fields are plain arrays, so it can be shipped to tasks.
+
+    ``known`` has the statistics of all items: their terms, sorted, the number of entries with
+    each, the number of entries, and that of words in them.  Without it the given items are all.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], threshold: float, known: tuple[np.ndarray, np.ndarray, int, int] | None = None) -> None:
         self.item = np.array([i for i, _ in items], np.int64)
-        words = [h for _, hashes, before, _, _ in word_hashes(pa.array([t for _, t in items], pa.string()), letters_and_digits(), fold=True) for h in np.split(hashes, before[1:-1])]
+        words = item_words(pa.array([t for _, t in items], pa.string()))
         self.length = np.array([len(w) for w in words], np.int64)
         self.entry_of: list[int] = []
         rows = []
         for i, w in enumerate(words):
-            for a in range(0, len(w), ENTRY):
-                rows.append(np.unique(w[a : a + ENTRY], return_counts=True))
-                self.entry_of.append(i)
+            made = entries(w)
+            rows += made
+            self.entry_of += [i] * len(made)
         self.entry_of = np.array(self.entry_of, np.int64)
         n = len(rows)
         self.n, self.threshold = n, threshold
@@ -57,7 +73,10 @@ class Index:
         often = np.concatenate([r[1] for r in rows]).astype(float) if rows else np.zeros(0)
         self.terms, term, df = np.unique(all_terms, return_inverse=True, return_counts=True)
         size = np.bincount(entry, often, n)
-        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[term] * often * (K1 + 1) / (often + K1 * (1 - B + B * size / max(size.sum() / max(n, 1), 1))[entry])
+        among, total = n, size.sum()
+        if known is not None:
+            df, among, total = known[1][np.searchsorted(known[0], self.terms)], known[2], known[3]
+        weight = np.log(1 + (among - df + 0.5) / (df + 0.5))[term] * often * (K1 + 1) / (often + K1 * (1 - B + B * size / max(total / max(among, 1), 1))[entry])
         weight /= np.bincount(entry, weight, n)[entry]
         order = np.lexsort((entry, term))
         term, self.entry, self.weight = term[order], entry[order], weight[order]
@@ -121,7 +140,32 @@ def _overlap(grams: tuple[np.ndarray, int], words: np.ndarray) -> float:
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("at_word", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
 
 
-def _searched(texts: DataFrame, index: Index, overlap: float) -> DataFrame:
+def statistics(items: DataFrame) -> tuple[DataFrame, int, int]:
+    """``shard``, ``term`` and ``df``, the number of entries of all items with a term; the number of entries; that of words in them.
+
+    ``items`` has ``shard`` and ``text``.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words in zip(batch.column(0).to_pylist(), item_words(batch.column(1)), strict=True):
+                made = entries(words)
+                if made:
+                    term, n = np.unique(np.concatenate([t for t, _ in made]), return_counts=True)
+                    columns = [pa.array(np.full(len(term) + 1, shard, np.int32)), pa.array(np.append(term.view(np.int64), 0)), pa.array(np.append(n, len(made))), pa.array(np.append(np.zeros(len(term), np.int64), len(words)))]
+                    whole = pa.array(np.append(np.zeros(len(term), bool), True))
+                    yield pa.record_batch([*columns, whole], names=["shard", "term", "n", "words", "whole"])
+
+    counted = items.select("shard", "text").mapInArrow(rows, "shard int, term long, n long, words long, whole boolean")
+    counted = stage(counted.groupBy("shard", "term", "whole").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "benchmark-terms")
+    total = counted.where("whole").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    of_shards = counted.where("not whole")
+    df = of_shards.groupBy("term").agg(F.sum("n").alias("df"))
+    return of_shards.select("shard", "term").join(df, "term"), total[0], total[1]
+
+
+def _searched(texts: DataFrame, index: Index, overlap: float, last: bool) -> DataFrame:
+    """The leaks of an index's items; unless it is the last one they are written before the next index is made."""
     shared = texts.sparkSession.sparkContext.broadcast(index)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +177,12 @@ def _searched(texts: DataFrame, index: Index, overlap: float) -> DataFrame:
                 if out:
                     yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), FOUND.types, strict=True)], schema=FOUND)
 
-    return texts.mapInArrow(rows, "doc_id long, item_id long, at_word long, score double, question double, answer double")
+    found = texts.mapInArrow(rows, "doc_id long, item_id long, at_word long, score double, question double, answer double")
+    if last:
+        return found
+    found = stage(found, "leaks")
+    shared.unpersist()
+    return found
 
 
 def leaks(x: Index, hashes: np.ndarray, before: np.ndarray, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
@@ -182,22 +231,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     the item's own text), ``question`` and ``answer`` (share of the 3-word runs of the
     item's first two thirds and last third that the passage has).  Words are runs
     of letters and digits, without case.  Null and empty texts and items match
-    nothing; of items with one id each is searched.  Statistics are those of the
-    index shard.
+    nothing; of items with one id each is searched.  Statistics are those of all items.
+    Documents are read once for each shard of the benchmark.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-chars // SHARD_CHARS))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    terms, among, words = statistics(items)
     texts, found = ids_and_texts(docs), []
     for k in range(shards):
-        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        found.append(_searched(texts, Index([(r.item_id, r.text) for r in held], threshold), overlap))
+        held = items.where(F.col("shard") == k).orderBy("item_id", "text").collect()
+        counted = terms.where(F.col("shard") == k).select("term", "df").toArrow()
+        term, df = counted["term"].to_numpy().astype(np.int64).view(np.uint64), counted["df"].to_numpy().astype(np.int64)
+        order = np.argsort(term)
+        index = Index([(r.item_id, r.text) for r in held], threshold, (term[order], df[order], among, words))
+        found.append(_searched(texts, index, overlap, k == shards - 1))
     return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """The documents into which no item leaks, with all their columns; rows with a null ``doc_id`` stay."""
-    from maskframe.llm.store import stage
-
     leaked = stage(contaminated(docs, benchmark, threshold, overlap).select("doc_id").where("doc_id is not null").distinct(), "leaked")
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)

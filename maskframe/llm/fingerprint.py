@@ -138,10 +138,12 @@ def fingerprints(held: tuple[np.ndarray, np.ndarray]) -> list[str]:
 def in_ranges(docs: DataFrame) -> DataFrame:
     """``part``, ``extra``, ``doc_id``, ``text``, each part in ascending order, with the document after its last one at the end as an extra.
 
-    Only the bounds of the parts, one number for each, come to the driver.
+    Only the bounds of the parts, one number for each, come to the driver; there are at most
+    four parts for each shuffle partition of the session, and a part of any size is
+    read in order, a few texts at a time.
     """
     n = docs.count()
-    parts = max(1, -(-n // ROWS))
+    parts = max(1, min(-(-n // ROWS), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     steps = [i / parts for i in range(1, parts)]
     bounds = docs.agg(F.min("doc_id"), *([F.percentile_approx("doc_id", steps, max(10_000, 10 * parts))] if steps else [])).first()
     bounds = np.unique([bounds[0], *(bounds[1] if steps else [])]) if n else np.zeros(1, np.int64)

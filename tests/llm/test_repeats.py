@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +378,24 @@ def brute_leaks(docs, items, threshold=0.5, overlap=0.5):
     return out
 
 
+@pytest.mark.parametrize("items_of_a_shard", [3, 10**6])
+def test_scores_do_not_depend_on_shards(spark, make, monkeypatch, items_of_a_shard):
+    """Partial copies whose scores lie around the threshold, against all items at once."""
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", items_of_a_shard)
+    rnd = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(80)] + ["the", "of"] * 20
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 150)))) for i in range(25)]
+    docs = [(i, " ".join(w for w in rnd.choice(items)[1].split() if rnd.random() < rnd.choice([0.7, 0.9, 1])) + " x" * rnd.randint(0, 40)) for i in range(250)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(make(docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute_leaks(docs, items) and len(found) > 60
+    whole = decontaminate.Index(items, 0.5)
+    for r in found:
+        for _, hashes, before, _, _ in decontaminate.word_hashes(pa.array([docs[r.doc_id][1]]), decontaminate.letters_and_digits(), fold=True):
+            best = {int(whole.item[item]): score for _, item, _, score, *_ in decontaminate.leaks(whole, hashes, before, 0.5)}
+        assert abs(best[r.item_id] - r.score) < 1e-9
+
+
 def test_leaks_query(spark, sf, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in op1_decontamination(spark, sf).collect()}

@@ -27,6 +27,8 @@ HEADLINE = (
     "statement_counters", "history_last_60", "active_sessions", "idle_sessions",
     "health_state", "rate_flag", "latency_summary", "rules_first_match",
     "findings_uncovered", "redact_documents", "token_scan_documents",
+    "mask_prose_documents", "prose_scan_documents", "rate_token_bucket", "audit_cube",
+    "latency_sketch_merge", "scan_bottom_k", "row_counts_footer", "scan_json_paths", "mask_as_of",
 )
 
 

@@ -166,10 +166,20 @@ def _cell(
 
 
 def mask_sql(
-    spark: SparkSession, query: str, policy: MaskPolicy, table: str | None = None, **kw
+    spark: SparkSession,
+    query: str,
+    policy: MaskPolicy,
+    table: str | None = None,
+    tables: dict[str, DataFrame] | None = None,
+    **kw,
 ) -> DataFrame:
-    """Run a query on raw values and mask its result."""
-    return mask(spark.sql(query), policy, table, **kw)
+    """Run a query on raw values and mask its result.
+
+    ``tables`` are the DataFrames that the query names in braces; without them it is
+    taken as it is, and reads the session's tables and views.
+    """
+    result = spark.sql(query, **tables) if tables else spark.sql(query)
+    return mask(result, policy, table, **kw)
 
 
 _HIDDEN = "'(JSON Masked)'"

@@ -387,13 +387,12 @@ def mask_consistent_join(spark, d):
 @query
 def mask_sql_result(spark, d):
     """T4: the query runs on raw values, its result is masked."""
-    customers(spark, d).createOrReplaceTempView("mf_customers")
-    orders(spark, d).createOrReplaceTempView("mf_orders")
     text = (
-        "SELECT c.email, count(*) AS n FROM mf_orders o JOIN mf_customers c "
+        "SELECT c.email, count(*) AS n FROM {o} o JOIN {c} c "
         "ON o.buyer_email = c.email WHERE c.email LIKE 'user1%' GROUP BY c.email"
     )
-    return mask_sql(spark, text, NO_RULES)
+    tables = {"o": orders(spark, d), "c": customers(spark, d)}
+    return mask_sql(spark, text, NO_RULES, tables=tables)
 
 
 # ---- nested values -----------------------------------------------------------

@@ -35,7 +35,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     if spark.conf.get(key) != usual:
         yield
         return
-    spark.conf.set(key, "4m")
+    spark.conf.set(key, "8m")
     try:
         yield
     finally:

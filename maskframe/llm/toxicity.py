@@ -227,6 +227,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose score is below the threshold, with all their columns; rows with a null ``doc_id`` stay."""
-    toxic = stage(classify(docs, labels, threshold, sample).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose score is below the threshold, with all their columns.
+
+    Rows with a null ``doc_id`` stay.  Of rows with one id and different texts only those go
+    whose own text is rejected.
+    """
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.xxhash64(doc, text)
+    keyed = docs.where(doc.isNotNull()).select(key.alias("doc_id"), text.alias("text"))
+    rejected = scores(keyed, train(docs, labels, sample)).where(F.col("score") >= threshold)
+    toxic = stage(rejected.select(F.col("doc_id").alias("__toxic")).distinct(), "toxic")
+    return docs.join(toxic, doc.isNotNull() & (key == F.col("__toxic")), "left_anti").select(*docs.columns)

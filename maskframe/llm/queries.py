@@ -14,42 +14,52 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that leaks into it."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token file gives back for every document."""
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited version, and how alike they are."""
     return fingerprint.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in windows which start earlier elsewhere."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class, copies and number of links of every document."""
     return near.near_copies(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are aligned with an earlier one."""
     return lines.remove_aligned(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, read back from its formatted text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.format_conversations(turns.unionByName(chat.hostile(spark)))
 

@@ -40,7 +40,7 @@ PHRASE = 8
 CHUNK_BYTES = 2 << 20
 
 #: A phrase is common if so many documents of a sample, one in SAMPLED, have it; and how many of them, the commonest, are told to all tasks.
-COMMON, SAMPLED, MOST_COMMON = 8, 64, 100_000
+COMMON, SAMPLED, MOST_COMMON = 24, 64, 100_000
 #: Rows that are confirmed at a time, apart from those of one key.
 HELD_ROWS = 50_000
 

@@ -83,9 +83,13 @@ def _words(line, most: int):
 
 
 def _weight(line, most: int):
-    """Words of a line, or half its letters of scripts without spaces, if that is more; at most ``most``."""
+    """Words of a line, or half its letters of scripts without spaces, if that is more; at most ``most``.
+
+    Such letters have three bytes; a line with few bytes more than characters is not searched for them.
+    """
     letters = F.length(line) - F.length(F.regexp_replace(line, UNSPACED, ""))
-    unspaced = F.when(line.rlike(UNSPACED), F.least(F.floor(letters / 2).cast("int"), F.lit(most)))
+    many = (F.octet_length(line) - F.length(line)) * 4 >= F.length(line)
+    unspaced = F.when(many, F.least(F.floor(letters / 2).cast("int"), F.lit(most)))
     return F.greatest(_words(line, most), F.coalesce(unspaced, F.lit(0)))
 
 

@@ -230,7 +230,8 @@ UNSPACED = re.compile("[\u3400-\u9fff\u3040-\u30ff\u0e00-\u0e7f]")
 
 
 def weight(line):
-    return max(len(words(line)), len(UNSPACED.findall(line)) // 2)
+    many = (len(line.encode()) - len(line)) * 4 >= len(line)
+    return max(len(words(line)), len(UNSPACED.findall(line)) // 2 if many else 0)
 
 
 def leads(cut, least=lines.MIN_WORDS):

@@ -22,6 +22,8 @@ from maskframe.functions.prose import (
 )
 from maskframe.functions.sql import register_functions
 from maskframe.functions.strategies import mask_value, register_strategy, strategy_names
+from maskframe.operators.asof import as_of, mask_as_of
+from maskframe.operators.bucket import token_bucket
 from maskframe.operators.discover import (
     ScanConfig,
     findings,
@@ -38,6 +40,7 @@ from maskframe.operators.mask import (
     masking_counters_wide,
     observed,
 )
+from maskframe.operators.paths import scan_paths
 from maskframe.operators.rules import resolved_rules_df, rules_summary, suggest_rules, uncovered
 from maskframe.policy import AuditConfig, HealthConfig, LimitsConfig, MaskPolicy, Rule, resolve_rules
 from maskframe.sources.policy_io import (
@@ -48,8 +51,18 @@ from maskframe.sources.policy_io import (
     rules_df,
     save_policy,
 )
+from maskframe.sources.retention import retain_days
 from maskframe.sources.sinks import write_audit, write_masked
-from maskframe.sources.tables import columns_df, read_tables, row_counts, schema_report
+from maskframe.sources.tables import (
+    columns_df,
+    footer_counts,
+    jdbc_plan,
+    jdbc_predicates,
+    known_counts,
+    read_tables,
+    row_counts,
+    schema_report,
+)
 
 
 def session_conf() -> dict[str, str]:
@@ -69,15 +82,17 @@ def session_conf() -> dict[str, str]:
 
 
 __all__ = [
-    "AuditConfig", "HealthConfig", "LimitsConfig", "MaskPolicy", "Rule", "ScanConfig",
-    "change_log", "columns_df", "contains_pii", "export_rules", "findings", "holds_personal_data",
-    "import_rules",
-    "is_json", "is_scannable", "leaf_scan", "load_policy", "looks_like_json",
-    "looks_like_pg_array", "mask", "mask_json", "mask_nested", "mask_pg_array", "mask_prose", "mask_sample",
-    "mask_sql", "mask_text", "mask_value", "masking_counters", "masking_counters_wide",
-    "name_pii_type", "observed", "partial", "pii_type", "preview", "profile", "prose_log", "prose_scan", "quick",
-    "read_tables", "redact_text", "register_functions", "register_strategy", "reload", "resolve_rules",
-    "resolved_rules_df", "row_counts", "rules_df", "rules_summary", "save_policy", "scan",
+    "AuditConfig", "HealthConfig", "LimitsConfig", "MaskPolicy", "Rule", "ScanConfig", "as_of",
+    "change_log", "columns_df", "contains_pii", "export_rules", "findings", "footer_counts",
+    "holds_personal_data", "import_rules", "is_json", "is_scannable", "jdbc_plan",
+    "jdbc_predicates", "known_counts", "leaf_scan", "load_policy", "looks_like_json",
+    "looks_like_pg_array", "mask", "mask_as_of", "mask_json", "mask_nested", "mask_pg_array",
+    "mask_prose", "mask_sample", "mask_sql", "mask_text", "mask_value", "masking_counters",
+    "masking_counters_wide", "name_pii_type", "observed", "partial", "pii_type", "preview",
+    "profile", "prose_log", "prose_scan", "quick", "read_tables", "redact_text",
+    "register_functions", "register_strategy", "reload", "resolve_rules", "resolved_rules_df",
+    "retain_days", "row_counts", "rules_df", "rules_summary", "save_policy", "scan", "scan_paths",
     "scan_summary", "schema_report", "session_conf", "strategy_names", "strategy_of",
-    "suggest_rules", "token_scan", "type_breakdown", "uncovered", "write_audit", "write_masked",
+    "suggest_rules", "token_bucket", "token_scan", "type_breakdown", "uncovered", "write_audit",
+    "write_masked",
 ]

@@ -86,7 +86,7 @@ def tokenize(docs: DataFrame, end: int = 2, vocabulary: str | None = None) -> Da
     return ids_and_texts(docs).mapInArrow(columns, "doc_id long, n_tokens long, ids binary")
 
 
-CODED = pa.schema([("doc_id", pa.int64()), ("length", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
+CODED = pa.schema([("place", pa.int32()), ("doc_id", pa.int64()), ("length", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
 
@@ -94,7 +94,8 @@ def write(tokens: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Write token rows (``tokenize``; read twice, so stage them) as a token file.
 
     Documents are coded where they are and then sorted, so only what goes into
-    the file is shuffled.  Rows with equal ``doc_id`` follow each other by their
+    the file is shuffled; the bounds of its parts come from the ids alone, so nothing
+    is coded twice.  Rows with equal ``doc_id`` follow each other by their
     coded bytes; a null ``doc_id`` comes first.
     """
     kind = np.dtype(id_type(vocabulary))
@@ -116,10 +117,17 @@ def write(tokens: DataFrame, path: str, vocabulary: str | None = None) -> None:
     rank = np.zeros(max((i for i, _ in ranked), default=0) + 1, dtype=np.uint32)
     rank[[i for i, _ in ranked]] = np.arange(len(ranked))
 
+    # One bound for each shuffle partition comes to the driver.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = [k / parts for k in range(1, parts)]
+    found = tokens.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * parts))).first()[0] if steps else None
+    bounds = np.unique(np.array(found or [], np.int64))
+
     def coded(batch: pa.RecordBatch) -> list:
         lengths = batch.column(1).to_numpy()
         control, data, sizes = encode(rank[np.frombuffer(b"".join(batch.column(2).to_pylist()), kind)], lengths)
-        return [batch.column(0), batch.column(1), binary(control, -(-lengths // 4), 1), binary(data, sizes, 1)]
+        place = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
+        return [place, batch.column(0), batch.column(1), binary(control, -(-lengths // 4), 1), binary(data, sizes, 1)]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -138,8 +146,8 @@ def write(tokens: DataFrame, path: str, vocabulary: str | None = None) -> None:
         if held:
             yield full()
 
-    rows = tokens.select("doc_id", "n_tokens", "ids").mapInArrow(by_columns(coded, CODED), "doc_id long, length long, control binary, data binary")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "length", "control", "data")
+    rows = tokens.select("doc_id", "n_tokens", "ids").mapInArrow(by_columns(coded, CODED), "place int, doc_id long, length long, control binary, data binary")
+    rows = rows.repartitionById(parts, "place").drop("place").sortWithinPartitions("doc_id", "length", "control", "data")
     rows.mapInArrow(blocks, "part int, block int, start long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

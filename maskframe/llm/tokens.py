@@ -25,7 +25,7 @@ from maskframe.llm.words import texts as byte_run
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 8 << 20
 #: Pieces that a process keeps at most, in each of two generations: what the older one has and nobody asks for goes.
-CACHE = 250_000
+CACHE = 450_000
 #: A piece that the tokenizer does not cut any further.
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 _ENCODERS: dict[str, Encoder] = {}

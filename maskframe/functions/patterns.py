@@ -102,8 +102,9 @@ _ANY_BODY = "(?:" + "|".join(BODIES[t] for t in PII_TYPES) + ")"
 # A JSON string value that is personal data and holds no escape; the group is
 # its text.  An opening quote never follows a backslash; the text between a
 # closing quote and the next opening one holds a bracket, comma or colon, which
-# no body does; a key is followed by a colon.
-JSON_HIT = rf'(?<!\\)"({_ANY_BODY})"(?!{_JSON_WS}:)'
+# no body does; a key is followed by a colon.  What stands before the quote is
+# only looked at where there is one.
+JSON_HIT = rf'"(?<!\\")({_ANY_BODY})"(?!{_JSON_WS}:)'
 
 # A JSON literal with an escape that might decode to personal data: only
 # characters and escapes that such a value can have.
@@ -132,8 +133,12 @@ JSON_CONTROLS = (
 )
 
 # Array or JSON text without such a place has nothing to mask: escapes aside, an
-# element stands between braces, commas or quotes.
-ARRAY_HINT = rf'\\|[\[{{,"][{WS_CLASS}]*+{_ANY_BODY}[{WS_CLASS}]*+[\]}},"]'
+# element stands between braces, commas or quotes.  No body begins with one of
+# these, so runs of them, as in deep text, do not have all bodies tried on each.
+_NO_BODY = r'(?![\[\]{},":])'
+ARRAY_HINT = (
+    rf'\\|[\[{{,"]{_NO_BODY}[{WS_CLASS}]*+{_NO_BODY}{_ANY_BODY}[{WS_CLASS}]*+[\]}},"]'
+)
 
 # One piece of free text that is personal data: no letter, digit or sign that
 # such a value can have stands right before it, and no letter or digit after it.

@@ -133,10 +133,19 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n) for n in DRIVER_TABLES}
 
 
-def derived(spark: SparkSession, sf_dir: str, text: str, source: str) -> DataFrame:
-    """One of the texts above over the table it reads."""
+def derived(
+    spark: SparkSession, sf_dir: str, text: str, source: str, spread: bool = False
+) -> DataFrame:
+    """One of the texts above over the table it reads.
+
+    With ``spread`` the table's rows are dealt over all tasks first, in turn: millions
+    of short rows can be one split of a file, however long the cells made of them are.
+    """
+    rows = table(spark, sf_dir, source)
+    if spread:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = text.replace('"table"', "`table`").replace('"column"', "`column`")
     body = body.replace('"timestamp"', "`timestamp`").replace("{", "{{").replace("}", "}}")
     return spark.sql(
-        body.replace(f"FROM {source}", "FROM {src}"), src=table(spark, sf_dir, source)
+        body.replace(f"FROM {source}", "FROM {src}"), src=rows
     )

@@ -211,7 +211,7 @@ def redact_conversations(spark, d):
 @query
 def mask_json_hostile(spark, d):
     """Containers that are broken, deep or hold control characters leak nothing."""
-    hostile = X.derived(spark, d, X.HOSTILE, "customer")
+    hostile = X.derived(spark, d, X.HOSTILE, "customer", spread=True)
     masked = hostile.select("c_custkey", "secret", mask_text("cell").alias("masked"))
     return masked.select("c_custkey", F.contains("masked", "secret").alias("leaks"))
 

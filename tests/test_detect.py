@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import regex
 
@@ -167,3 +168,32 @@ def test_pg_array_and_row_filter(spark):
     assert shapes == [True, False, False]
     assert [r.i for r in df.where(contains_pii(df)).collect()] == [3]
     assert df.select("i").where(contains_pii(df.select("i"))).count() == 0
+
+
+def test_container_hints_find_what_bodies_between_signs_are(spark):
+    """The hints against patterns that try every body at every sign, over odd text; and deep text costs little more than its length."""
+    rnd = random.Random(5)
+    pieces = ["a@b.co", "123-45-6789", "10.0.0.1", "AB1234567", "+1-555-123-4567", "(555) 123-4567", '"', '"', "[", "]", "{", "}", ",", ":", " ", "\u3000", "\\", "x", "\t", "é"]
+    rows = [("".join(rnd.choices(pieces, k=rnd.randint(0, 9))),) for _ in range(20_000)]
+    ws, body = P.WS_CLASS, P._ANY_BODY
+    hint = rf'\\|[\[{{,"][{ws}]*+{body}[{ws}]*+[\]}},"]'
+    hit = rf'(?<!\\)"({body})"(?!{P._JSON_WS}:)'
+    df = spark.createDataFrame(rows, "v string").select(
+        F.col("v").rlike(P.ARRAY_HINT).alias("hint"), F.col("v").rlike(hint).alias("hint_was"),
+        F.regexp_replace("v", P.JSON_HIT, "#$1#").alias("hit"), F.regexp_replace("v", hit, "#$1#").alias("hit_was"), "v",
+    )
+    got = df.collect()
+    assert all(r.hint == r.hint_was and r.hit == r.hit_was for r in got)
+    assert 1_000 < sum(r.hint for r in got) < 19_000 and sum(r.hit != r.v for r in got) > 100
+
+    deep = spark.range(2_000, numPartitions=1).select(F.expr("concat(repeat('[', 1200), id, repeat(']', 1200))").alias("v"))
+
+    def seconds(pattern):
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert deep.where(F.col("v").rlike(pattern)).count() == 0
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert seconds(P.ARRAY_HINT) < seconds(hint) / 1.5

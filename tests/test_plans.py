@@ -78,3 +78,16 @@ def test_time_order_works_on_combined_rows(spark, sf):
     probes = events.withColumn("ok", F.col("event_type") != "error")
     text = plan(O.health_state(probes, "user_id", "ok", "event_id"))
     assert "hashpartitioning(user_id" in text and re.search(r"hashpartitioning\(user_id#\d+L, __block", text)
+
+
+def test_long_cells_of_short_rows_are_masked_in_many_tasks(spark, sf):
+    from maskframe.plans.queries import mask_json_hostile
+
+    assert X.table(spark, sf, "customer").rdd.getNumPartitions() == 1
+    found = mask_json_hostile(spark, sf)
+    parts = [len(p) for p in found.rdd.glom().collect()]
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert min(parts) > 0 and max(parts) - min(parts) <= 8
+    # Only the key is dealt out, before the cells are made of it.
+    text = plan(found)
+    assert re.search(r"Exchange RoundRobinPartitioning\(\d+\), REPARTITION_BY_NUM.*\n.*FileScan parquet \[c_custkey#\d+L\]", text)

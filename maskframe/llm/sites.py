@@ -12,9 +12,9 @@ children, more from the children the fewer styles it has.
 What HTML itself says counts too.  Importance is weighted down in elements that are
 navigation, notices, forms, comments and the like by tag, role, class or id, and
 outside the article (or main part) where a page names one.  What a page names as
-its article is content: it is not measured, because copies of an article within a
-site would make it look like a menu.  A page then loses every branch that is of low
-importance, itself and all below it.
+its article is measured as a whole, by its text.  A page then loses every branch that
+is of low importance, itself and all below it; an article only if another one of the
+page is left, because copies of an article within a site look like a menu.
 
 Two passes read the pages.  One counts (node, style or text) of every site, combined
 before the shuffle, so that a host with a third of all pages sends few rows.  The
@@ -255,12 +255,13 @@ class Page:
         return self.area[k] == 2 and k > 0 and self.area[self.nodes[k][0]] == 2
 
 
-def site_tree(page: Page, host: str) -> tuple[int, list[list], list[list]]:
+def site_tree(page: Page, host: str, measured: bool = True) -> tuple[int, list[list], list[list]]:
     """Layout of a page, its nodes in the site's tree, and its blocks.
 
-    A node: parent, id, its style or text, weight, and 2 for the article, 1 for what has block
-    children, 0 for texts.  A block: node (-1 within the article, which is not measured), and what
-    is said there, without inline asides.
+    A node: parent, id, its style or text, weight, and 2 for an article, 1 for what has block
+    children, 0 for texts.  A block: node (within an article the article's, which is measured as a
+    whole), and what is said there, without inline asides.  Articles of pages that are not
+    ``measured`` get no style, which only counting needs.
     """
     children: list[list[int]] = [[] for _ in page.nodes]
     for k in range(1, len(page.nodes)):
@@ -273,16 +274,29 @@ def site_tree(page: Page, host: str) -> tuple[int, list[list], list[list]]:
         alone = children[k]
         return value(alone[0]) if len(alone) == 1 and alone[0] in said else _digest(*(page.nodes[c][1] for c in alone))
 
+    def whole(k: int) -> int:
+        """The text of a named article, whatever its blocks are."""
+        found, todo = [], [k]
+        while todo:
+            at = todo.pop()
+            if at in said:
+                found.append(said[at])
+            else:
+                todo += reversed(children[at])
+        return _digest("#article", _unnumbered(" ".join(found)))
+
     root = value(0)
     layout = _digest(host, root)
     ids, place, nodes, blocks = {0: (layout, root)}, {}, [], []
     for k, (up, _) in enumerate(page.nodes):
         within = page.inside(k)
         alone = k in said and len(children[up]) == 1
-        if not within and alone:
-            place[k] = place[up]  # an element with one text is a leaf
-        elif not within:
+        if within or alone:
+            place[k] = place[up]  # an article is a leaf, and an element with one text
+        else:
             node, style = ids[k]
+            if page.area[k] == 2:
+                style = whole(k) if measured else 0
             place[k] = len(nodes)
             leaf = k in said or (len(children[k]) == 1 and children[k][0] in said)
             nodes.append([place[up] if k else -1, node, style, page.weight[k], 2 if page.area[k] == 2 else 0 if leaf else 1])
@@ -292,13 +306,15 @@ def site_tree(page: Page, host: str) -> tuple[int, list[list], list[list]]:
             # a block that is an aside goes with its branch, within the article it goes here
             stays = said[k] if page.weight[k] < 1 and not within else _spaced("".join(t for e, t in page.texts[k] if not page.off[e]))
             if stays:
-                blocks.append([-1 if within else place[k], stays])
+                blocks.append([place[k], stays])
     return layout, nodes, blocks
 
 
 def main_text(nodes: list[list], blocks: list[list], known: dict[int, tuple[float, int]]) -> str:
     """What stays of a page; ``known`` has importance and number of styles of the nodes that enough pages have."""
     count = len(nodes)
+    # copies of an article look like a menu: the least important go only if others are left
+    left = max((known.get(node, (1.0, 1))[0] for _, node, _, kind in nodes if kind == 2), default=0.0) >= LEAST
     below, born, noisy = [0.0] * count, [0] * count, [True] * count
     for k in range(count - 1, -1, -1):
         up, node, weight, kind = nodes[k]
@@ -306,7 +322,7 @@ def main_text(nodes: list[list], blocks: list[list], known: dict[int, tuple[floa
         if kind == 1 and born[k]:
             share = DECAY**styles
             importance = (1 - share) * importance + share * below[k] / born[k]
-        importance = 1.0 if kind == 2 else weight * importance
+        importance = 1.0 if kind == 2 and not (left and importance < LEAST) else weight * importance
         noisy[k] = noisy[k] and importance < LEAST
         if up >= 0:
             below[up] += importance
@@ -316,7 +332,7 @@ def main_text(nodes: list[list], blocks: list[list], known: dict[int, tuple[floa
     for k in range(count):
         up = nodes[k][0]
         gone[k] = noisy[k] or (up >= 0 and gone[up])
-    return "\n\n".join(text for k, text in blocks if k < 0 or not gone[k])
+    return "\n\n".join(text for k, text in blocks if not gone[k])
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -372,7 +388,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for page_id, url, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                layout, nodes, blocks = site_tree(Page(source), host or f"page {page_id} {url}")
+                layout, nodes, blocks = site_tree(Page(source), host or f"page {page_id} {url}", measured=False)
                 slim = [[up, node, weight, kind] for up, node, _, weight, kind in nodes]
                 out.append((page_id, url, layout, packer.compress(json.dumps([slim, blocks], ensure_ascii=False).encode())))
             if out:

@@ -71,6 +71,30 @@ def test_a_site_without_named_parts(spark):
     assert all("copied text" in got[200 + i] for i in range(30))
 
 
+def test_a_site_with_several_named_articles(spark):
+    """Of the articles that a page names those go that its site's pages have in common; copies of a whole page keep all."""
+    rnd = random.Random(4)
+    vocabulary = [f"wort{i}" for i in range(500)]
+
+    def cards(i, said, card):
+        return f"<body><nav>{i} online</nav><div class='w'><article><h1>{said[0]}</h1><p>{said[1]}</p></article><article><p>{card}</p><ul><li>{i} of us</li></ul></article></div></body>"
+
+    rows, want = [], {}
+    for i in range(40):
+        said = [" ".join(rnd.choices(vocabulary, k=9)) for _ in range(2)]
+        rows.append((i, f"https://cards.example.com/{i}", cards(i, said, "Join our readers today.")))
+        want[i] = "\n\n".join(said)
+    # pages that differ in a number alone, a page alone, and second articles that differ
+    rows += [(100 + i, "https://copies.example.com/", cards(i, ["one", "two"], "three")) for i in range(30)]
+    rows.append((200, "https://alone.example.com/", cards(1, ["one", "two"], "three")))
+    rows += [(300 + i, "https://both.example.com/", cards(i, [f"a{chr(97 + i)}", "b"], f"c{chr(97 + i)}")) for i in range(20)]
+    got = texts(sites.extract(spark.createDataFrame(rows, SCHEMA)))
+    assert {i: got[i] for i in want} == want
+    assert all(got[100 + i] == f"one\n\ntwo\n\nthree\n\n{i} of us" for i in range(30))
+    assert got[200] == "one\n\ntwo\n\nthree\n\n1 of us"
+    assert all(got[300 + i] == f"a{chr(97 + i)}\n\nb\n\nc{chr(97 + i)}\n\n{i} of us" for i in range(20))
+
+
 def test_importance_against_entropy(spark):
     """The table of importances against the definition, over the trees of all pages."""
     rnd = random.Random(2)
